@@ -70,6 +70,18 @@ class Workspace:
         self.close()
 
 
+#: Most bytes of a table that is sent to every executor.
+SIDE_BYTES = 16 << 20
+
+
+def side(df: DataFrame, limit: int = SIDE_BYTES) -> DataFrame:
+    """df, checkpointed; marked to be broadcast if its rows take no more than limit bytes, else joined as any table."""
+    shared_dir(df.sparkSession)
+    df = df.checkpoint()
+    size = df.agg(F.sum(F.length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))) + 16)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def sql_fold(text):
     """Column: the scanner's folding to lower case."""
     return F.translate(text, UPPER, LOWER)
