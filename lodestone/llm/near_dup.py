@@ -6,8 +6,8 @@
    in the bucket. After step 5 only buckets whose members still lie in different groups are paired in full.
 4. A pair's signatures are compared batch by batch. After n hashes with m matches the posterior of the similarity is
    Beta(m + 1, n - m + 1); the pair is dropped as soon as P(similarity >= threshold) < miss.
-5. Survivors are verified exactly, on their sets of shingles. Of the pairs whose documents aren't connected yet, each
-   document takes its most alike partner a round, until no survivor is left between two groups.
+5. Survivors are verified exactly, on their sets of shingles: each document's most alike and least partner first, then
+   all pairs whose documents these haven't connected.
 6. Groups are the connected components of verified pairs and exact copies.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import Workspace, binary, grams, matrix, mix, nearly, ragged, read, scan, slices, fold
+from .base import Workspace, binary, grams, matrix, mix, nearly, ragged, read, scan, side, slices, fold
 from .components import connected_components
 
 
@@ -139,12 +139,15 @@ def survivors(pairs: DataFrame, sigs: DataFrame, p: Params) -> DataFrame:
                 alive, m, done = alive[keep], m[keep], n
             yield pa.RecordBatch.from_arrays([rows.column("a").take(pa.array(alive)), rows.column("b").take(pa.array(alive)), pa.array(m)], ["a", "b", "matches"])
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    some = sigs.select("id", "sig").join(used, "id", "left_semi").dropDuplicates(["id"])
+    some = sigs.select("id", "sig").join(side(ends(pairs)), "id", "left_semi").dropDuplicates(["id"])
     left, right = some.select(F.col("id").alias("a"), F.col("sig").alias("sa")), some.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, matches long")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
 def verified(pairs: DataFrame, sets: DataFrame, p: Params) -> DataFrame:
     """The pairs (a, b) with their exact Jaccard similarity, by sets (id, set) of sorted distinct shingles."""
 
@@ -171,7 +174,7 @@ def shingle_sets(docs: DataFrame, p: Params, doc_id: str, text: str, ids: DataFr
             yield pa.RecordBatch.from_arrays([rows.column("id"), ragged(np.concatenate(sets), first)], ["id", "set"])
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null")
-    return chosen.join(ids, "id", "left_semi").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+    return chosen.join(side(ids), "id", "left_semi").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
 
 def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,48 +193,48 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
         sigs = ws.table(sketch(docs, p, doc_id, text))
         same = sigs.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("h1", "h2", "rep")
         copies = ws.table(sigs.select("h1", "h2", "id").join(same, ["h1", "h2"]).where("id > rep").select("id", "rep").distinct())
-        sigs = sigs.select("id", "sig").join(copies, "id", "left_anti")
+        sigs = sigs.select("id", "sig").join(side(copies.select("id")), "id", "left_anti")
 
         bucket = Window.partitionBy("band")
         members = band_members(sigs, p).withColumns({"least": F.min("id").over(bucket), "most": F.max("id").over(bucket)})
         members = ws.table(members.where("least < most").select("band", "id", "least"))
         star = members.where("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
         likely = ws.table(survivors(star, sigs, p))
-        used = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        sets = ws.table(shingle_sets(docs, p, doc_id, text, used))
+        sets = ws.table(shingle_sets(docs, p, doc_id, text, ends(likely)))
+        edges, groups = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, root long")
 
-        none = spark.createDataFrame([], "a long, b long")
-        edges, groups, tried = none, spark.createDataFrame([], "node long, root long"), none
+        def connect(pairs: DataFrame) -> None:
+            nonlocal edges, groups
+            edges = ws.table(edges.union(verified(pairs, sets, p).where(F.col("similarity") >= p.threshold).select("a", "b")))
+            groups = ws.table(connected_components(ws, edges))
 
         def across(pairs: DataFrame) -> DataFrame:
             """The pairs whose ends are in different groups."""
             ga, gb = groups.select(F.col("node").alias("a"), F.col("root").alias("ra")), groups.select(F.col("node").alias("b"), F.col("root").alias("rb"))
             return pairs.join(ga, "a", "left").join(gb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).drop("ra", "rb")
 
-        def connect(likely: DataFrame) -> None:
-            nonlocal edges, groups, tried
-            best = Window.partitionBy("b").orderBy(F.desc("matches"), "a")
-            while True:
-                turn = ws.table(likely.withColumn("turn", F.row_number().over(best)).where("turn = 1").select("a", "b"))
-                if turn.isEmpty():
-                    return
-                tried = ws.table(tried.union(turn))
-                edges = ws.table(edges.union(verified(turn, sets, p).where(F.col("similarity") >= p.threshold).select("a", "b")))
-                groups = ws.table(connected_components(ws, edges))
-                likely = ws.table(across(likely.join(tried, ["a", "b"], "left_anti")))
-
-        connect(likely)
+        def both(likely: DataFrame) -> None:
+            """Each document's most alike and least partner come first; then all pairs that are still between groups."""
+            turn = likely.withColumns({"most": F.row_number().over(Window.partitionBy("b").orderBy(F.desc("matches"), "a")), "low": F.min("a").over(Window.partitionBy("b"))})
+            turn = ws.table(turn.select("a", "b", (F.col("most").eqNullSafe(1) | (F.col("a") == F.col("low"))).alias("now")))
+            connect(turn.where("now"))
+            rest = ws.table(across(turn.where("not now").select("a", "b")))
+            if not rest.isEmpty():
+                connect(rest)
+
+        both(likely)
         # Buckets that the stars left in several groups: there every pair across groups is a candidate.
         labelled = members.join(groups, members.id == groups.node, "left").select("band", "id", F.coalesce("root", "id").alias("g"), "least")
         labelled = labelled.withColumns({"g0": F.min("g").over(bucket), "g1": F.max("g").over(bucket)}).where("g0 < g1")
         labelled = ws.table(labelled.select("band", "id", "g", "least"))
         left, right = labelled.select("band", F.col("id").alias("a"), F.col("g").alias("ga"), "least"), labelled.select("band", F.col("id").alias("b"), F.col("g").alias("gb"))
         rest = left.join(right, "band").where("a < b and ga <> gb and a <> least").select("a", "b").distinct()
-        likely = ws.table(survivors(rest.join(star, ["a", "b"], "left_anti"), sigs, p))
-        if not likely.isEmpty():
-            used = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id"), "id", "left_anti")
-            sets = ws.table(sets.union(shingle_sets(docs, p, doc_id, text, used)))
-            connect(likely)
+        rest = ws.table(rest.join(star, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            likely = ws.table(survivors(rest, sigs, p))
+            if not likely.isEmpty():
+                sets = ws.table(sets.union(shingle_sets(docs, p, doc_id, text, ends(likely).join(sets.select("id"), "id", "left_anti"))))
+                both(likely)
 
         roots = groups.where("node <> root").select(F.col("node").alias("id"), F.col("root").alias("duplicate_of"))
         by_copy = copies.join(groups, copies.rep == groups.node, "left").select("id", F.coalesce("root", "rep").alias("duplicate_of"))
