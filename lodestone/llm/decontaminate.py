@@ -203,17 +203,18 @@ def sql(docs: str = "documents", benchmark: str = "benchmark") -> str:
     """WITH clauses that end in dec_spans (row, id, item_id, start, stop), row numbering the rows of docs."""
     p = Params()
     words = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}')"
-    gram = lambda k: f"string_agg(w, ' ') over (partition by n order by j rows between current row and {k - 1} following)"
+    leads = ", ".join(f"lead(w, {i}) over near as w{i}, lead(stop, {i}) over near as s{i}" for i in range(1, p.window))
+    gram = lambda k: "concat_ws(' ', w, " + ", ".join(f"w{i}" for i in range(1, k)) + ")"
     return rf"""dec_docs as (select row_number() over () as n, doc_id as id, text from {docs} where doc_id is not null and text is not null),
 dec_words as (select n, id, unnest({words}) as w, unnest(regexp_split_to_array(text, '{WORD}')[1:len({words})]) as gap, generate_subscripts({words}, 1) as j from dec_docs),
 dec_at as (select n, id, w, j, sum(length(gap) + length(w)) over (partition by n order by j) as stop from dec_words),
 dec_items as (select distinct item_id, text, {words} as ws from {benchmark} where item_id is not null and text is not null),
 dec_passages as (select distinct item_id, k, array_to_string(ws[j:j + k - 1], ' ') as passage from (select item_id, ws, least(len(ws), {p.window}) as k, unnest(range(1, greatest(2, len(ws) - {p.window} + 2))) as j from dec_items where len(ws) >= {p.least})),
-dec_grams as ({" union all ".join(f"select n, id, j, {k} as k, {gram(k)} as passage from dec_at" for k in range(p.least, p.window + 1))}),
-dec_hits as (select distinct n, id, item_id, j, j + k as e from dec_grams join dec_passages using (k, passage)),
+dec_near as (select n, id, j, w, stop - length(w) as start, {leads} from dec_at window near as (partition by n order by j)),
+dec_grams as ({" union all ".join(f"select n, id, j, start, s{k - 1} as stop, {k} as k, {gram(k)} as passage from dec_near" for k in range(p.least, p.window + 1))}),
+dec_hits as (select distinct n, id, item_id, j, j + k as e, start, stop from dec_grams join dec_passages using (k, passage)),
 dec_groups as (select *, sum(new) over (partition by n, item_id order by j, e) as g from (select *, case when j <= max(e) over (partition by n, item_id order by j, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from dec_hits)),
-dec_runs as (select n, id, item_id, min(j) as j, max(e) as e from dec_groups group by n, id, item_id, g),
-dec_spans as (select r.n, r.id, item_id, (a.stop - length(a.w))::bigint as start, b.stop::bigint as stop from dec_runs r join dec_at a on a.n = r.n and a.j = r.j join dec_at b on b.n = r.n and b.j = r.e - 1)"""
+dec_spans as (select n, id, item_id, min(start)::bigint as start, max(stop)::bigint as stop from dec_groups group by n, id, item_id, g)"""
 
 
 ORACLE = f"with {sql()}\nselect id as doc_id, item_id, start, stop from dec_spans"

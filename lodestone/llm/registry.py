@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import co_training, decontaminate, host_rules, mixing, near_dup, sharding, token_output, toxicity, url_filter
+from . import co_training, decontaminate, host_rules, mixing, near_dup, repeats, sharding, token_output, toxicity, url_filter
 
 QUERIES = {
     "op1_quality_classifier": co_training.op1_quality_classifier,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_near_duplicates": near_dup.op3_near_duplicates,
+    "op4_repeated_passages": repeats.op4_repeated_passages,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_mixing": mixing.op7_mixing,
