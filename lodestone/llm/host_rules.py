@@ -1,7 +1,7 @@
 """Quality rules whose strictness follows the host: failures by host, shrunk by an empirical beta prior, judged, joined back.
 
-1. Every document is measured by built-in functions: length, shares of symbols, of capitals and of letters, repeated
-   lines. A measure beyond its hard limit is a failure; one beyond its soft limit is a doubt.
+1. Every document is measured by built-in functions: shares of symbols, of capitals and of letters, repeated lines,
+   words said twice in a row, length of words. A measure beyond its hard limit is a failure; one beyond its soft limit is a doubt.
 2. Failing documents are counted by host. The hosts' rates give a beta prior by moments: its mean is the rate over all
    documents, its weight follows from how far hosts spread beyond what chance would make them. A host's rate is the mean
    of its posterior, so that a host with few documents is judged by the others.
@@ -28,12 +28,14 @@ LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 class Params:
     """(hard, soft) limits. Shares are of characters without white space, capitals of letters, repeats of lines."""
 
-    symbols: tuple[float, float] = (0.1, 0.05)
+    symbols: tuple[float, float] = (0.06, 0.04)
     shouts: tuple[float, float] = (0.05, 0.02)
     capitals: tuple[float, float] = (0.5, 0.3)
-    letters: tuple[float, float] = (0.6, 0.75)
+    letters: tuple[float, float] = (0.4, 0.6)
     repeats: tuple[float, float] = (0.5, 0.3)
     repeat_lines: int = 4
+    stutter: tuple[float, float] = (0.3, 0.15)
+    stutter_words: int = 20
     word_length: tuple[float, float] = (40.0, 25.0)
     bad_host: float = 0.5
 
@@ -49,7 +51,9 @@ def flags(text: Column, p: Params) -> tuple[Column, Column]:
     dense = F.length(F.regexp_replace(t, "[ \n\t\r]+", ""))
     letters, capitals = without(t, LETTERS), without(t, CAPITALS)
     words = F.length(F.regexp_replace(t, "[^ \n\t\r]+", "")) + 1
-    lines = F.split(t, "\n")
+    lines, said = F.split(t, "\n"), F.split(t, "[ \n\t\r]+")
+    pairs = F.size(said) - 1
+    twice = F.size(F.filter(F.zip_with(F.slice(said, F.lit(1), pairs), F.slice(said, F.lit(2), pairs), lambda a, b: a == b), lambda x: x))
     low = lambda x, y: x / F.greatest(y, F.lit(1))
     repeated = F.size(lines) - F.size(F.array_distinct(lines))
     measures = [
@@ -58,6 +62,7 @@ def flags(text: Column, p: Params) -> tuple[Column, Column]:
         ("capitals", low(capitals, letters), p.capitals, False, letters >= 20),
         ("letters", low(letters, dense), p.letters, True, None),
         ("repeats", low(repeated, F.size(lines)), p.repeats, False, F.size(lines) >= p.repeat_lines),
+        ("stutter", low(twice, pairs), p.stutter, False, pairs >= p.stutter_words),
         ("word_length", low(dense, words), p.word_length, False, None),
     ]
     out = []
@@ -113,15 +118,16 @@ _SHARES = r"""
 measured as (select *, greatest(length(regexp_replace(t, '[ \n\t\r]+', '', 'g')), 1) as dense, length(t) - length(regexp_replace(t, '[#$%&*|{}<>^~=_\\]', '', 'g')) as symbols,
   length(t) - length(regexp_replace(t, '[!?]', '', 'g')) as shouts, length(t) - length(regexp_replace(t, '[A-ZÀ-ÖØ-Þ]', '', 'g')) as capitals,
   length(t) - length(regexp_replace(t, '[A-Za-zÀ-ÖØ-öø-ÿ]', '', 'g')) as letters, length(regexp_replace(t, '[^ \n\t\r]+', '', 'g')) + 1 as words,
-  len(string_split(t, chr(10))) as lines, len(list_distinct(string_split(t, chr(10)))) as kinds
-  from (select *, coalesce(text, '') as t, source as g from {table})),
+  len(string_split(t, chr(10))) as lines, len(list_distinct(string_split(t, chr(10)))) as kinds,
+  len(said) - 1 as pairs, len(list_filter(range(1, len(said)), lambda i: said[i] = said[i + 1])) as twice
+  from (select *, regexp_split_to_array(coalesce(text, ''), '[ \n\t\r]+') as said, coalesce(text, '') as t, source as g from {table})),
 flagged as (select *,
-  concat_ws(',', case when symbols / dense > 0.1 then 'symbols' end, case when shouts / dense > 0.05 and dense >= 20 then 'shouts' end,
-    case when capitals / greatest(letters, 1) > 0.5 and letters >= 20 then 'capitals' end, case when letters / dense < 0.6 then 'letters' end,
-    case when (lines - kinds) / lines > 0.5 and lines >= 4 then 'repeats' end, case when dense / words > 40 then 'word_length' end) as hard,
-  concat_ws(',', case when symbols / dense > 0.05 then 'symbols' end, case when shouts / dense > 0.02 and dense >= 20 then 'shouts' end,
-    case when capitals / greatest(letters, 1) > 0.3 and letters >= 20 then 'capitals' end, case when letters / dense < 0.75 then 'letters' end,
-    case when (lines - kinds) / lines > 0.3 and lines >= 4 then 'repeats' end, case when dense / words > 25 then 'word_length' end) as soft
+  concat_ws(',', case when symbols / dense > 0.06 then 'symbols' end, case when shouts / dense > 0.05 and dense >= 20 then 'shouts' end,
+    case when capitals / greatest(letters, 1) > 0.5 and letters >= 20 then 'capitals' end, case when letters / dense < 0.4 then 'letters' end,
+    case when (lines - kinds) / lines > 0.5 and lines >= 4 then 'repeats' end, case when twice / greatest(pairs, 1) > 0.3 and pairs >= 20 then 'stutter' end, case when dense / words > 40 then 'word_length' end) as hard,
+  concat_ws(',', case when symbols / dense > 0.04 then 'symbols' end, case when shouts / dense > 0.02 and dense >= 20 then 'shouts' end,
+    case when capitals / greatest(letters, 1) > 0.3 and letters >= 20 then 'capitals' end, case when letters / dense < 0.6 then 'letters' end,
+    case when (lines - kinds) / lines > 0.3 and lines >= 4 then 'repeats' end, case when twice / greatest(pairs, 1) > 0.15 and pairs >= 20 then 'stutter' end, case when dense / words > 25 then 'word_length' end) as soft
   from measured),
 by_host as (select g as h, count(*) as docs, count(*) filter (hard <> '') as failing from flagged group by g),
 total as (select sum(docs)::double as n, count(*) as h0, sum(failing * failing / docs) as sq, sum(failing) / sum(docs) as m from by_host),
