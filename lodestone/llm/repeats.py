@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import Workspace, Scan, fold, grams, mix, nearly, powers, ragged, read, scan, side, slices
+from .base import Workspace, Scan, fold, grams, mix, nearly, powers, ragged, read, scan, slices
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
                 columns = (s.hashes[j].astype(np.uint32), (chars[s.start[j]] - base).astype(np.int32), (chars[s.end[j]] - base).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 20_000]), rows.column("id").take(pa.array(t)), pa.array((a - s.first[t]).astype(np.int32)), *(ragged(x, first) for x in columns)], ["h", "id", "at", "words", "starts", "stops"])
 
-    return docs.join(side(wanted), "id").mapInArrow(run, "h long, id long, at int, words binary, starts binary, stops binary")
+    return docs.join(wanted, "id").mapInArrow(run, "h long, id long, at int, words binary, starts binary, stops binary")
 
 
 def suffix_order(t: np.ndarray) -> np.ndarray:
