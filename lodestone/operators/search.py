@@ -6,6 +6,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +54,6 @@ class HashEmbedder:
 
 def embedded(chunks: DataFrame, embedder: Embedder, batch: int = 32) -> DataFrame:
     """chunks with the column embedding. Within a task texts are taken in order of length, so that a batch has alike ones."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def vectors(texts: pd.Series) -> pd.Series:
         order = texts.str.len().sort_values().index
@@ -175,9 +176,6 @@ def nearest_all(vectors: DataFrame, queries: DataFrame, k: int, id: str = "id",
     Both sides are packed into blocks; each pair of blocks is one matrix product, which keeps k of a query. Vectors that
     are null or of norm 0 are left out; all must have one length.
     """
-    import numpy as np
-    import pyarrow as pa
-
     def packed(df: DataFrame, name: str) -> DataFrame:
         def run(batches):
             for rows in batches:

@@ -75,7 +75,7 @@ def note_row(name: str, content: str) -> dict:
         else:
             problem("code_refs", "must be a list of mappings")
     used = {"id", *TYPED, "last_verified", "ttl_days", "audience", "tags", "code_refs"}
-    row["extra"] = [(str(k), _text(v)) for k, v in fm.items() if k not in used]
+    row["extra"] = {str(k): _text(v) for k, v in fm.items() if k not in used}
     return row
 
 
