@@ -7,7 +7,7 @@
    of its posterior, so that a host with few documents is judged by the others.
 3. A host whose rate is over the limit is bad. There, a doubt rejects; elsewhere, only a failure does.
 
-Only the table of hosts is exchanged; texts stay where they are read.
+Only the table of hosts is exchanged; texts stay where they are read, and are measured once for all verdicts.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import read, side
+from .base import Workspace, read, side
 
 SYMBOLS = r"[#$%&*|{}<>^~=_\\]"
 CAPITALS = "[A-ZÀ-ÖØ-Þ]"
@@ -94,9 +94,12 @@ def verdicts(docs: DataFrame, p: Params = Params(), host: str = "source", text:
     """
     hard, soft = flags(docs[text], p)
     rows = docs.select(*(docs[c].alias(f"k{i}") for i, c in enumerate(keep)), docs[host].cast("string").alias("g"), hard.alias("hard"), soft.alias("soft"))
-    judged = side(hosts(rows.select(F.col("g").alias("h"), "hard"), p))
-    kept = F.when(F.col("bad"), F.col("soft") == "").otherwise(F.col("hard") == "")
-    return rows.join(judged, rows.g.eqNullSafe(judged.h)).select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("g").alias("host"), F.col("hard").alias("failed"), F.col("soft").alias("doubted"), F.col("docs").alias("host_docs"), F.col("rate").alias("host_rate"), F.col("bad").alias("bad_host"), kept.alias("kept"))
+    with Workspace(docs.sparkSession) as ws:
+        rows = ws.table(rows)
+        judged = side(hosts(rows.select(F.col("g").alias("h"), "hard"), p))
+        kept = F.when(F.col("bad"), F.col("soft") == "").otherwise(F.col("hard") == "")
+        out = rows.join(judged, rows.g.eqNullSafe(judged.h))
+        return ws.keep(out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("g").alias("host"), F.col("hard").alias("failed"), F.col("soft").alias("doubted"), F.col("docs").alias("host_docs"), F.col("rate").alias("host_rate"), F.col("bad").alias("bad_host"), kept.alias("kept")))
 
 
 def drop_rejected(docs: DataFrame, p: Params = Params(), host: str = "source", text: str = "text") -> DataFrame:
