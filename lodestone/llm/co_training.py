@@ -1,7 +1,8 @@
 """A quality classifier by co-training: a view of the text and a view of the page's metadata teach each other.
 
 1. Both views are logistic models: one of the text's make-up (shares of characters, words, lines), one of language,
-   source and length. Each is fitted to the labelled documents.
+   source and length. Each is fitted to the labelled documents. Each language and source that training sees has a
+   weight of its own, by its whole value; values that it doesn't see share one.
 2. In each round, each view labels documents of an unlabelled pool, by calibrated probability; those that it is sure of
    join the other view's training set, in the proportion of the labels. Both are fitted again.
 3. Each view is calibrated on labelled documents held out, and a logistic model of the two calibrated log-odds, fitted
@@ -20,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import matrix, binary, mix, read, slices
+from .base import matrix, binary, read, slices
 from .features import SHAPES, sampled, shapes, sigmoid
 
-META = 2 * 32 + 24
+#: The metadata view's columns before those of the known values: an unknown language, an unknown source, and 24 lengths.
+META = 2 + 24
 
 
 @dataclass(frozen=True)
@@ -47,12 +49,63 @@ class Logistic:
     weights: np.ndarray
     bias: float
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
+    def __call__(self, x: np.ndarray | Kinds) -> np.ndarray:
+        if isinstance(x, Kinds):
+            return x.times(self.weights) + self.bias
         return ((x - self.mean) / self.scale) @ self.weights + self.bias
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> Logistic:
+@dataclass
+class Kinds:
+    """Rows of width columns that are 1 in the columns at[i] and else 0."""
+
+    at: np.ndarray
+    width: int
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, rows: np.ndarray) -> Kinds:
+        return Kinds(self.at[rows], self.width)
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return v[self.at].sum(1)
+
+    def sums(self, v: np.ndarray) -> np.ndarray:
+        """By column, the sum of v over the rows that have it."""
+        return np.bincount(self.at.ravel(), np.repeat(v, self.at.shape[1]), self.width)
+
+
+def fit_kinds(x: Kinds, y: np.ndarray) -> Logistic:
+    """Newton's method by conjugate gradients. Weights have a standard normal prior: a value seen once says little, one not seen nothing."""
+    w, prior = np.zeros(x.width + 1), np.append(np.ones(x.width), 1e-9)
+    for _ in range(50):
+        q = sigmoid(x.times(w[:-1]) + w[-1])
+        d = np.maximum(q * (1 - q), 1e-6)
+        diagonal = np.append(x.sums(d), d.sum()) + prior
+        rest = np.append(x.sums(y - q), (y - q).sum()) - prior * w
+        move, z = np.zeros(len(w)), rest / diagonal
+        to, rz = z, rest @ z
+        for _ in range(500):
+            if rz < 1e-20:
+                break
+            u = d * (x.times(to[:-1]) + to[-1])
+            turned = np.append(x.sums(u), u.sum()) + prior * to
+            step = rz / (to @ turned)
+            move, rest = move + step * to, rest - step * turned
+            z = rest / diagonal
+            to, rz = z + (rest @ z) / rz * to, rest @ z
+        move *= min(1.0, 5 / (np.abs(move).max() + 1e-12))
+        w = w + move
+        if np.abs(move).max() < 1e-6:
+            break
+    return Logistic(np.zeros(x.width), np.ones(x.width), w[:-1], float(w[-1]))
+
+
+def fit_logistic(x: np.ndarray | Kinds, y: np.ndarray, ridge: float) -> Logistic:
     """Newton's method on standardised columns; a constant column gets no weight."""
+    if isinstance(x, Kinds):
+        return fit_kinds(x, y)
     mean, scale = x.mean(0), x.std(0)
     scale = np.where(scale > 1e-6, scale, np.inf)
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
@@ -70,6 +123,10 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> Logistic:
     return Logistic(mean, scale, w[:-1], float(w[-1]))
 
 
+#: Columns by language, and by source.
+Known = tuple[dict[str | None, int], dict[str | None, int]]
+
+
 @dataclass
 class Model:
     text: Logistic
@@ -77,29 +134,36 @@ class Model:
     text_scale: Logistic
     meta_scale: Logistic
     both: Logistic
+    known: Known = ({}, {})
 
-    def odds(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def odds(self, text: np.ndarray, meta: np.ndarray | Kinds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = self.text_scale(self.text(text)[:, None]), self.meta_scale(self.meta(meta)[:, None])
         return a, b, self.both(np.stack([a, b], 1))
 
 
-def metadata(lang: list, source: list, size: np.ndarray) -> np.ndarray:
-    """Hashed language and source, and the length's power of two, one column each; a null has a value of its own."""
-    out = np.zeros((len(lang), META), np.float32)
-    at = np.arange(len(lang))
+def seen(lang: list, source: list) -> Known:
+    """A column for each language and each source, null being a value too."""
+    langs, sources = (sorted(set(column), key=lambda v: (v is not None, v)) for column in (lang, source))
+    return {v: META + i for i, v in enumerate(langs)}, {v: META + len(langs) + i for i, v in enumerate(sources)}
+
+
+def metadata(lang: list, source: list, size: np.ndarray, known: Known) -> Kinds:
+    """The columns of language, source and the length's power of two; a null length counts as the greatest."""
+    at = np.empty((len(lang), 3), np.int64)
     for k, column in enumerate((lang, source)):
-        kinds = {v: int(mix(np.array([int.from_bytes(str(v).encode()[-8:], "little") if v is not None else 1], np.uint64))[0] % np.uint64(32)) for v in set(column)}
-        out[at, 32 * k + np.array([kinds[v] for v in column], np.int64)] = 1
-    out[at, 64 + np.clip(np.where(size < 0, 23, np.log2(np.maximum(size, 0) + 1)), 0, 23).astype(np.int64)] = 1
-    return out
+        at[:, k] = [known[k].get(v, k) for v in column]
+    at[:, 2] = 2 + np.clip(np.where(size < 0, 23, np.log2(np.maximum(size, 0) + 1)), 0, 23).astype(np.int64)
+    return Kinds(at, META + len(known[0]) + len(known[1]))
 
 
-def view_rows(rows: pa.RecordBatch, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = rows.column("size").cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
-    return shapes(data, bounds), metadata(rows.column("lang").to_pylist(), rows.column("source").to_pylist(), size)
+def metadata_of(rows: pa.RecordBatch | pa.Table, known: Known | None = None) -> tuple[Kinds, Known]:
+    """The metadata view of rows; without known, of what they have themselves."""
+    lang, source = rows.column("lang").to_pylist(), rows.column("source").to_pylist()
+    known = seen(lang, source) if known is None else known
+    return metadata(lang, source, rows.column("size").cast(pa.int64()).fill_null(-1).to_numpy(), known), known
 
 
-def train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, p: Params) -> Model:
+def train(text: np.ndarray, meta: np.ndarray | Kinds, y: np.ndarray, p: Params, known: Known = ({}, {})) -> Model:
     """y: 1 good, 0 bad, -1 without a label. With one kind of label only, everything scores about its share."""
     labelled = np.flatnonzero(y >= 0)
     pool = np.flatnonzero(y < 0)
@@ -109,7 +173,7 @@ def train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, p: Params) -> Model
         rate = (np.sum(y == 1) + 1) / (len(labelled) + 2)
         flat = lambda n, b: Logistic(np.zeros(n), np.ones(n), np.zeros(n), b)
         prior = float(np.log(rate / (1 - rate)))
-        return Model(flat(SHAPES, 0.0), flat(META, 0.0), flat(1, prior), flat(1, prior), flat(2, prior))
+        return Model(flat(SHAPES, 0.0), flat(META + len(known[0]) + len(known[1]), 0.0), flat(1, prior), flat(1, prior), flat(2, prior), known)
     share = y[learn].mean()
     views, taught = [text, meta], [dict.fromkeys(learn.tolist()) | {}, dict.fromkeys(learn.tolist()) | {}]
     for t in taught:
@@ -140,7 +204,7 @@ def train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, p: Params) -> Model
         taught[0] |= news[1]
         models = [fitted(0), fitted(1)]
     odds = np.stack([s(m(v[held])[:, None]) for (m, s), v in zip(models, views)], 1)
-    return Model(models[0][0], models[1][0], models[0][1], models[1][1], fit_logistic(odds, y[held].astype(float), 1e-3))
+    return Model(models[0][0], models[1][0], models[0][1], models[1][1], fit_logistic(odds, y[held].astype(float), 1e-3), known)
 
 
 def chosen(docs: DataFrame, doc_id: str, text: str, lang: str, source: str, size: str) -> DataFrame:
@@ -152,18 +216,18 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in slices(batches, "text"):
-            t, m = view_rows(rows, data, bounds)
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), binary(t), binary(m)], ["id", "y", "t", "m"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("id", "y", "lang", "source", "size")), binary(shapes(data, bounds))], ["id", "y", "lang", "source", "size", "t"])
 
-    known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
+    labelled = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
     rows = chosen(docs, doc_id, text, lang, source, size).where("id is not null")
-    some = sampled(known, F.col("id"), p.sample)
+    some = sampled(labelled, F.col("id"), p.sample)
     # Twice the pool by hash, of which the unlabelled are used: that needs no join of all documents.
-    others = sampled(rows.select("id"), F.col("id"), 2 * p.pool).withColumn("y", F.lit(-1)).join(F.broadcast(sampled(known, F.col("id"), p.sample).select("id")), "id", "left_anti").limit(p.pool)
+    others = sampled(rows.select("id"), F.col("id"), 2 * p.pool).withColumn("y", F.lit(-1)).join(F.broadcast(sampled(labelled, F.col("id"), p.sample).select("id")), "id", "left_anti").limit(p.pool)
     picked = some.union(others).groupBy("id").agg(F.max("y").alias("y"))
-    made = rows.join(F.broadcast(picked), "id").mapInArrow(run, "id long, y int, t binary, m binary").toArrow().sort_by("id").combine_chunks()
-    column = lambda c: pa.concat_arrays(made.column(c).chunks) if made.num_rows else pa.array([], pa.binary())
-    return train(matrix(column("t"), np.float32, SHAPES), matrix(column("m"), np.float32, META), made.column("y").to_numpy(), p)
+    made = rows.join(F.broadcast(picked), "id").mapInArrow(run, "id long, y int, lang string, source string, size long, t binary").toArrow().sort_by("id").combine_chunks()
+    made_t = pa.concat_arrays(made.column("t").chunks) if made.num_rows else pa.array([], pa.binary())
+    meta, known = metadata_of(made)
+    return train(matrix(made_t, np.float32, SHAPES), meta, made.column("y").to_numpy(), p, known)
 
 
 def score(docs: DataFrame, model: Model, p: Params = Params(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", size: str = "n_chars") -> DataFrame:
@@ -177,7 +241,7 @@ def score(docs: DataFrame, model: Model, p: Params = Params(), doc_id: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in slices(batches, "text"):
-            a, b, both = (np.round(sigmoid(x), 4) for x in sent.value.odds(*view_rows(rows, data, bounds)))
+            a, b, both = (np.round(sigmoid(x), 4) for x in sent.value.odds(shapes(data, bounds), metadata_of(rows, sent.value.known)[0]))
             yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(a), pa.array(b), pa.array(both), pa.array(both >= least)], ["doc_id", "text_score", "meta_score", "quality", "keep"])
 
     return chosen(docs, doc_id, text, lang, source, size).mapInArrow(run, "doc_id long, text_score double, meta_score double, quality double, keep boolean")

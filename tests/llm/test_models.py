@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from cases import clashing, empty, odd, rows
+from cases import SCHEMA, clashing, empty, odd, rows
 from pyspark.sql import functions as F
 
 from lodestone.llm import co_training, toxicity
@@ -86,3 +86,28 @@ def test_odd_rows(spark):
         assert rows(module.score(empty(spark), model)) == []
         none = module.fit(empty(spark), labels.limit(0))
         assert len(rows(module.score(docs, none))) == docs.count()
+
+
+def test_every_source_has_a_weight_of_its_own(spark):
+    """Ends alike, and more values than any few hashed columns hold; text and length say nothing."""
+    hosts = [f"{chr(97 + i // 10)}{i % 10}.example.com" for i in range(100)]
+    docs = [(i, "the same words in every text", "en" if i % 2 else "de", hosts[i // 10 % 100], 28) for i in range(4000)]
+    labels = [(i, int(hosts.index(s) % 2 == 0)) for i, _, _, s, _ in docs]
+    table = spark.createDataFrame(docs, SCHEMA)
+    model = co_training.fit(table, spark.createDataFrame(labels, "doc_id long, quality int"))
+    got = {r.doc_id: r.meta_score for r in co_training.score(table, model).collect()}
+    assert all(got[i] > 0.9 if y else got[i] < 0.1 for i, y in labels)
+    unseen = [(1, "the same words in every text", "en", s, 28) for s in ("new.example.com", "other.example.com", "a0.example.com")]
+    new = {r.doc_id: r.meta_score for r in co_training.score(spark.createDataFrame([(k, *u[1:]) for k, u in enumerate(unseen)], SCHEMA), model).collect()}
+    assert new[0] == new[1] and 0.2 < new[0] < 0.8 and new[2] > 0.9
+
+
+def test_newton_by_conjugate_gradients():
+    r = np.random.default_rng(3)
+    at = np.stack([r.integers(0, 5, 400), 5 + r.integers(0, 60, 400)], 1)
+    y = (r.random(400) < 0.3 + 0.5 * (at[:, 0] == 2)).astype(float)
+    x = co_training.Kinds(at, 70)
+    got = co_training.fit_kinds(x, y)
+    rest = y - 1 / (1 + np.exp(-got(x)))
+    assert np.allclose(x.sums(rest), got.weights, atol=1e-5) and abs(rest.sum()) < 1e-5
+    assert (got.weights[65:] == 0).all() and got.weights[2] == got.weights[:65].max()
