@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from .base import Workspace, read, side
 
 SYMBOLS = r"[#$%&*|{}<>^~=_\\]"
-CAPITALS = "[A-ZÀ-ÖØ-Þ]"
-LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+#: Of every script; the ranges before the classes are found sooner. Marks belong to their letters.
+CAPITALS = r"[A-ZÀ-ÖØ-Þ\p{Lu}]"
+LETTERS = r"[A-Za-zÀ-ÖØ-öø-ÿ\p{L}\p{M}]"
+#: Characters of scripts that put no spaces between words; each counts as a word.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 @dataclass(frozen=True)
@@ -55,6 +58,9 @@ def flags(text: Column, p: Params) -> tuple[Column, Column]:
     pairs = F.size(said) - 1
     twice = F.size(F.filter(F.zip_with(F.slice(said, F.lit(1), pairs), F.slice(said, F.lit(2), pairs), lambda a, b: a == b), lambda x: x))
     low = lambda x, y: x / F.greatest(y, F.lit(1))
+    # Only a text beyond the limit is searched for such scripts: more words can only bring it under it.
+    length = low(dense, words)
+    length = F.when(length > min(p.word_length), low(dense, words + without(t, UNSPACED))).otherwise(length)
     repeated = F.size(lines) - F.size(F.array_distinct(lines))
     measures = [
         ("symbols", low(without(t, SYMBOLS), dense), p.symbols, False, None),
@@ -63,7 +69,7 @@ def flags(text: Column, p: Params) -> tuple[Column, Column]:
         ("letters", low(letters, dense), p.letters, True, None),
         ("repeats", low(repeated, F.size(lines)), p.repeats, False, F.size(lines) >= p.repeat_lines),
         ("stutter", low(twice, pairs), p.stutter, False, pairs >= p.stutter_words),
-        ("word_length", low(dense, words), p.word_length, False, None),
+        ("word_length", length, p.word_length, False, None),
     ]
     out = []
     for k in (0, 1):

@@ -34,3 +34,17 @@ def test_odd_rows(spark):
     assert drop_rejected(clashing(docs)).columns == clashing(docs).columns
     assert rows(drop_rejected(docs).select("doc_id")) == sorted(((r[0],) for r in got if r[7]), key=repr)
     assert rows(verdicts(empty(spark))) == [] and rows(drop_rejected(empty(spark))) == []
+
+
+def test_letters_of_every_script(spark):
+    texts = [
+        "Обычное предложение из слов привычной длины, и ещё одно за ним.", "Μια συνηθισμένη πρόταση με λέξεις και άλλη μία μετά.",
+        "جملة عادية من كلمات مألوفة الطول، وأخرى بعدها.", "सामान्य लंबाई के शब्दों का एक वाक्य और उसके बाद दूसरा।",
+        "这是一个普通的句子，后面还有另一个句子，说的是同样平常的事情。" * 3, "これは普通の文で、そのあとにもう一つの文が続きます。" * 3,
+        "นี่คือประโยคธรรมดาและมีอีกประโยคหนึ่งตามมา" * 3, "평범한 길이의 단어로 된 문장과 그 뒤의 다른 문장.",
+    ]
+    docs = spark.createDataFrame([(i, t, "x", "h", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert [(r.failed, r.doubted, r.kept) for r in verdicts(docs).collect()] == [("", "", True)] * len(texts)
+    assert drop_rejected(docs).count() == len(texts)
+    bad = spark.createDataFrame([(1, "ВСЕ СЛОВА ЗДЕСЬ НАПИСАНЫ ЗАГЛАВНЫМИ", "x", "h", 0), (2, "一二三 123 456 789 000 111", "x", "h", 0), (3, "я" * 90, "x", "h", 0)], SCHEMA)
+    assert {r.doc_id: r.failed for r in verdicts(bad).collect()} == {1: "capitals", 2: "letters", 3: "word_length"}
