@@ -98,13 +98,13 @@ def thresholds(rows: DataFrame, p: Params) -> DataFrame:
 
 
 def tiered(docs: DataFrame, p: Params, key: str, source: str, text: str, size: Column | None) -> tuple[DataFrame, DataFrame, Column]:
-    """docs beside its thresholds (s, cuts), cuts being an array over the tiers, and the tier of a joined row."""
+    """docs beside its thresholds (s, cuts), cuts being an array over the tiers and null for a source without weight, and the tier of a joined row."""
     name, id_, h = docs[source].cast("string"), F.coalesce(docs[key].cast("string"), F.lit("")), key_hash(docs[key])
     rows = docs.select(name.alias("s"), id_.alias("k"), h.alias("h"), (tokens(docs[text]) if size is None else size).alias("n"))
     with Workspace(docs.sparkSession) as ws:
         cuts = side(thresholds(ws.table(rows), p).groupBy(F.col("s").alias("mix_source")).agg(F.sort_array(F.collect_list(F.struct("tier", "h", "k"))).alias("mix_cuts")))
     fits = F.filter(cuts["mix_cuts"], lambda c: (h < c["h"]) | ((h == c["h"]) & (id_ < c["k"])))
-    return cuts, docs.join(cuts, name.eqNullSafe(cuts["mix_source"])), F.when(F.size(fits) > 0, F.array_min(F.transform(fits, lambda c: c["tier"])))
+    return cuts, docs.join(cuts, name.eqNullSafe(cuts["mix_source"]), "left"), F.when(F.size(fits) > 0, F.array_min(F.transform(fits, lambda c: c["tier"])))
 
 
 def mixture(docs: DataFrame, p: Params = Params(), key: str = "doc_id", source: str = "source", text: str = "text", size: Column | None = None) -> DataFrame:

@@ -69,3 +69,15 @@ def test_odd_rows(spark):
     assert rows(mixture(clashing(docs))) == got
     assert mix(clashing(docs)).columns == clashing(docs).columns
     assert rows(mixture(empty(spark))) == []
+
+
+def test_rows_of_sources_without_weight(spark):
+    docs = [(i, s, 10) for i, s in enumerate(["a", "b", None, "c"] * 20)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, size long").withColumn("text", F.lit("x"))
+    for p in (Params(weights={"a": 3, "b": 0}), Params(weights={"b": 1}, default_weight=0), Params(default_weight=0)):
+        got = rows(mixture(df, p, size=df["size"]))
+        assert [g[:3] for g in got] == sorted(docs, key=repr)
+        none = {s for s in ("a", "b", None, "c") if not p.weights.get(s, p.default_weight)}
+        assert none and all(g[3] is None for g in got if g[1] in none)
+        assert {g[1] for g in got if g[3] is not None} == {"a", "b", None, "c"} - none
+        assert rows(mix(df, p, size=df["size"])) == sorted(((k, s, n, "x") for k, s, n, t in got if t is not None), key=repr)
