@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import functools
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,8 +21,25 @@ SLICE_BYTES = 1 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 LOWER = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþ"
-#: A word, as the scanner sees it: a run of ASCII letters and digits and of any character beyond ASCII.
-WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+#: Ranges of code points beyond ASCII that separate words: Latin-1's marks, general, supplemental, CJK, vertical and full-width punctuation.
+SEPARATE = ((0x80, 0xBF), (0x2000, 0x207F), (0x2E00, 0x2E7F), (0x3000, 0x303F), (0xFE10, 0xFE6F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+#: Scripts that put no spaces between words; each of their characters is a word: Thai and Lao, Myanmar, Khmer, Kana, Han.
+SINGLE = ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+def _classes() -> tuple[str, str]:
+    """Regular-expression classes of the characters beyond ASCII that are words alone, and that are parts of words."""
+    form = lambda ranges: "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges)
+    rest, at = [], 0x80
+    for a, b in sorted(SEPARATE + SINGLE):
+        if a > at:
+            rest.append((at, a - 1))
+        at = b + 1
+    return form(SINGLE), form([*rest, (at, 0x10FFFF)])
+
+
+#: A word, as the scanner sees it: a character of the scripts without spaces, or a run of ASCII letters and digits and of other characters beyond ASCII.
+WORD = r"[{}]|[0-9A-Za-z{}]+".format(*_classes())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,14 +53,45 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, named, True)
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Folders of results that outlived their workspace.
+_kept: list[str] = []
+
+
+@contextlib.contextmanager
+def borrowing(spark: SparkSession) -> Iterator[None]:
+    """Results that operators return inside are deleted at the end; what is wanted of them must be written by then."""
+    before = len(_kept)
+    try:
+        yield
+    finally:
+        while len(_kept) > before:
+            _delete(spark, _kept.pop())
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables of all results that operators have returned so far."""
+    while _kept:
+        _delete(spark, _kept.pop())
+
+
+#: Most bytes of a table that is sent to every executor.
+SIDE_BYTES = 16 << 20
+
+
 class Workspace:
     """Written tables in the shared folder, which cut lineage and survive the loss of executors; close() deletes them.
 
-    A result that outlives the workspace goes through keep(), a reliable checkpoint.
+    A result that outlives the workspace goes through keep(); release() and borrowing() delete such results.
     """
 
     def __init__(self, spark: SparkSession):
@@ -48,20 +99,26 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
         self.n = 0
 
-    def table(self, df: DataFrame) -> DataFrame:
-        self.n += 1
-        path = f"{self.root}/{self.n}"
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def table(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        return self._write(df, f"{self.root}/{self.n}")
+
     def keep(self, df: DataFrame) -> DataFrame:
-        shared_dir(self.spark)
-        return df.checkpoint()
+        _kept.append(f"{shared_dir(self.spark)}/kept-{uuid.uuid4().hex}")
+        return self._write(df, _kept[-1])
+
+    def side(self, df: DataFrame, limit: int = SIDE_BYTES, keep: bool = False) -> DataFrame:
+        """df, written; marked to be broadcast if its rows take no more than limit bytes, else joined as any table: the rows of the result are the same."""
+        df = self.keep(df) if keep else self.table(df)
+        size = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))) + 16)).first()[0] or 0
+        return F.broadcast(df) if size <= limit else df
 
     def close(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.root)
 
     def __enter__(self) -> "Workspace":
         return self
@@ -70,16 +127,15 @@ class Workspace:
         self.close()
 
 
-#: Most bytes of a table that is sent to every executor.
-SIDE_BYTES = 16 << 20
+def kind_of(df: DataFrame, column: str) -> str:
+    """The type of a column, as schemas spell it."""
+    return df.select(F.col(column)).schema[0].dataType.simpleString()
 
 
-def side(df: DataFrame, limit: int = SIDE_BYTES) -> DataFrame:
-    """df, checkpointed; marked to be broadcast if its rows take no more than limit bytes, else joined as any table."""
-    shared_dir(df.sparkSession)
-    df = df.checkpoint()
-    size = df.agg(F.sum(F.length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)))) + 16)).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
+def several(rows: DataFrame, key: str, of: str, *more) -> DataFrame:
+    """(key, least, ...) of the keys whose rows have different values of a column; sums of rows before any exchange, so a hot key is no burden."""
+    found = rows.groupBy(key).agg(F.min(of).alias("least"), F.max(of).alias("most"), *more)
+    return found.where("least < most").drop("most")
 
 
 def sql_fold(text):
@@ -143,6 +199,7 @@ class Scan:
     end: np.ndarray
     first: np.ndarray
     hashes: np.ndarray
+    sums: np.ndarray
 
     @property
     def text_of(self) -> np.ndarray:
@@ -154,24 +211,65 @@ class Scan:
         np.cumsum((self.data & 0xC0) != 0x80, out=out[1:])
         return out
 
+    def beginnings(self, size: int) -> np.ndarray:
+        """Hashes of the first size bytes of each word."""
+        stop = np.minimum(self.start + size, self.end)
+        return mix((self.sums[stop] - self.sums[self.start]) * powers(len(self.data) + 1)[1][self.start] + np.uint64(size))
 
-def scan(data: np.ndarray, bounds: np.ndarray) -> Scan:
-    """Finds and hashes the words of texts joined in data (folded already), text i being bounds[i] up to bounds[i + 1]."""
+
+_EDGES = np.array(sorted(x for a, b in SEPARATE + SINGLE for x in (a, b + 1)))
+_IS_SINGLE = np.array([any(a <= x <= b for a, b in SINGLE) for x in _EDGES])
+_IS_APART = np.array([any(a <= x <= b for a, b in SEPARATE) for x in _EDGES])
+
+
+def word_mask(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes of folded UTF-8 belong to words; and first and end bytes of the characters that are words alone."""
+    n = len(data)
+    out = _tables()[1][data]
+    none = np.zeros(0, np.int64)
+    at = np.flatnonzero(data == 0xC2)
+    out[at] = False
+    out[np.minimum(at + 1, n - 1)] = False
+    at = np.flatnonzero(data >= 0xE0)
+    if not len(at):
+        return out, none, none
+    lead, wide = data[at].astype(np.int64), data[at] >= 0xF0
+    a, b, c = (data[np.minimum(at + i, n - 1)].astype(np.int64) & 0x3F for i in (1, 2, 3))
+    code = np.where(wide, ((lead & 7) << 18) | (a << 12) | (b << 6) | c, ((lead & 15) << 12) | (a << 6) | b)
+    k = np.searchsorted(_EDGES, code, "right") - 1
+    apart, single = (k >= 0) & _IS_APART[k], (k >= 0) & _IS_SINGLE[k]
+    for i in range(3):
+        out[np.minimum(at[apart] + i, n - 1)] = False
+    first = at[single]
+    return out, first, np.minimum(first + np.where(wide[single], 4, 3), n)
+
+
+def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end bytes of the words of texts joined in data (folded already), text i being bounds[i] up to bounds[i + 1]."""
     n = len(data)
     word = np.zeros(n + 2, bool)
-    word[1:-1] = _tables()[1][data]
+    word[1:-1], alone, stop = word_mask(data)
     begins = word[1:-1] & ~word[:-2]
     ends = word[1:-1] & ~word[2:]
+    begins[alone] = ends[stop - 1] = True
+    begins[stop[stop < n]] |= word[stop[stop < n] + 1]
+    ends[alone[alone > 0] - 1] |= word[alone[alone > 0]]
     inner = bounds[1:-1]
     inner = inner[(inner > 0) & (inner < n)]
     begins[inner] = word[inner + 1]
     ends[inner - 1] = word[inner]
-    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
+def scan(data: np.ndarray, bounds: np.ndarray) -> Scan:
+    """Finds and hashes the words of texts joined in data (folded already), text i being bounds[i] up to bounds[i + 1]."""
+    n = len(data)
+    start, end = words(data, bounds)
     first = np.searchsorted(start, bounds)
     p, inv = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n], out=sums[1:])
-    return Scan(data, bounds, start, end, first, mix((sums[end] - sums[start]) * inv[start]))
+    return Scan(data, bounds, start, end, first, mix((sums[end] - sums[start]) * inv[start]), sums)
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import fold, mix, powers, scan
+from .base import fold, mix, scan
 
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
 STEMS = (3, 5, 7)
@@ -27,14 +27,6 @@ class Sentences:
     at: np.ndarray
 
 
-def _stem_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
-    stop = np.minimum(start + size, end)
-    p, inv = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=sums[1:])
-    return mix((sums[stop] - sums[start]) * inv[start] + np.uint64(size))
-
-
 def sentences(data: np.ndarray, bounds: np.ndarray, bits: int) -> Sentences:
     """Sentences with a word at least. One ends at a line's end, or at a full stop, question or exclamation mark before white space.
 
@@ -57,7 +49,7 @@ def sentences(data: np.ndarray, bounds: np.ndarray, bits: int) -> Sentences:
     begin[inverse[::-1]] = s.start[::-1]
     stop[inverse] = s.end
     owner[inverse] = text
-    columns = [s.hashes, *(_stem_hashes(low, s.start, s.end, k) for k in STEMS)]
+    columns = [s.hashes, *(s.beginnings(k) for k in STEMS)]
     mask = np.uint64((1 << bits) - 1)
     codes = np.unique(np.concatenate([(inverse.astype(np.uint64) << np.uint64(bits)) | (mix(c) & mask) for c in columns])) if m else np.zeros(0, np.uint64)
     at = np.searchsorted(codes >> np.uint64(bits), np.arange(m + 1, dtype=np.uint64))
@@ -65,11 +57,11 @@ def sentences(data: np.ndarray, bounds: np.ndarray, bits: int) -> Sentences:
 
 
 def shapes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A row of SHAPES dense features for each text: shares of its bytes, and statistics of its words and lines."""
+    """A row of SHAPES dense features for each text, of half precision: shares of its bytes, and statistics of its words and lines."""
     n = len(bounds) - 1
     out = np.zeros((n, SHAPES), np.float32)
     if not n:
-        return out
+        return out.astype(np.float16)
     text = np.repeat(np.arange(n), np.diff(bounds))
     kind = np.minimum(data, 128).astype(np.int64)
     count = np.bincount(text * 129 + kind, minlength=n * 129).reshape(n, 129).astype(np.float64)
@@ -96,7 +88,7 @@ def shapes(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out[:, 137] = count[:, 48:58].sum(1) / size
     out[:, 138] = count[:, 128] / size
     out[:, 139] = np.log1p(words) / 10
-    return out
+    return np.minimum(out, 60_000).astype(np.float16)
 
 
 def sampled(table: DataFrame, key: Column, most: int) -> DataFrame:
