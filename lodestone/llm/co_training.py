@@ -1,42 +1,47 @@
 """A quality classifier by co-training: a view of the text and a view of the page's metadata teach each other.
 
 1. Both views are logistic models: one of the text's make-up (shares of characters, words, lines), one of language,
-   source and length. Each is fitted to the labelled documents. Each language and source that training sees has a
-   weight of its own, by its whole value; values that it doesn't see share one.
-2. In each round, each view labels documents of an unlabelled pool, by calibrated probability; those that it is sure of
-   join the other view's training set, in the proportion of the labels. Both are fitted again.
-3. Each view is calibrated on labelled documents held out, and a logistic model of the two calibrated log-odds, fitted
-   there too, combines them. It scores every document: one scan, no exchange.
-
-Training takes at most p.sample labelled and p.pool unlabelled documents, those of least hash, whole.
+   source and length. Each is fitted to labelled documents and calibrated on others held out. Each language and source
+   that training sees has a weight of its own, by its whole value; values that it doesn't see share one.
+2. In each round both views score all documents that have no label in the sample, where they lie. A view is confident of
+   a document if its calibrated odds, less what the calibration's error may add, are `lift` times the labels' odds. Those that it is most confident of
+   join the other view's training set, good and bad in the labels' proportion, with the calibrated probability as their
+   label and with the share of a label's information that it holds as their weight: a view that knows little says little.
+   Both are fitted and calibrated again.
+3. A logistic model of the two calibrated log-odds, fitted on the documents held out, combines the views and scores
+   every document.
+
+Texts are read once, for the features of the text view, which are written as a table; rounds and scores read that. The
+driver gets at most p.sample labelled documents, those of least hash, and in each round p.teach rows of each kind.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import matrix, binary, read, slices
+from .base import Workspace, binary, kind_of, matrix, read, slices
 from .features import SHAPES, sampled, shapes, sigmoid
 
-#: The metadata view's columns before those of the known values: an unknown language, an unknown source, and 24 lengths.
-META = 2 + 24
+#: Powers of two of a length, and their quarters.
+SIZES = 40
+#: The metadata view's columns before those of the known values: unknown language, unknown source, lengths, null length.
+META = 2 + 5 * SIZES + 1
 
 
 @dataclass(frozen=True)
 class Params:
-    """sample, pool: most labelled and unlabelled documents. sure: calibrated probability from which a view teaches. keep: score from which a document is kept."""
+    """sample: most labelled documents. held: every so many of them are held out. lift: factor of the odds from which a view is confident. teach: most documents of a kind that a view gives in a round. keep: score from which a document is kept."""
 
     sample: int = 8000
-    pool: int = 8000
     held: int = 4
     rounds: int = 4
-    sure: float = 0.97
+    lift: float = 1.5
     teach: int = 400
     ridge: float = 1e-3
     keep: float = 0.5
@@ -76,14 +81,15 @@ class Kinds:
         return np.bincount(self.at.ravel(), np.repeat(v, self.at.shape[1]), self.width)
 
 
-def fit_kinds(x: Kinds, y: np.ndarray) -> Logistic:
+def fit_kinds(x: Kinds, y: np.ndarray, weight: np.ndarray | None = None) -> Logistic:
     """Newton's method by conjugate gradients. Weights have a standard normal prior: a value seen once says little, one not seen nothing."""
     w, prior = np.zeros(x.width + 1), np.append(np.ones(x.width), 1e-9)
+    by = np.ones(len(y)) if weight is None else weight
     for _ in range(50):
         q = sigmoid(x.times(w[:-1]) + w[-1])
-        d = np.maximum(q * (1 - q), 1e-6)
+        d = by * np.maximum(q * (1 - q), 1e-6)
         diagonal = np.append(x.sums(d), d.sum()) + prior
-        rest = np.append(x.sums(y - q), (y - q).sum()) - prior * w
+        rest = np.append(x.sums(by * (y - q)), (by * (y - q)).sum()) - prior * w
         move, z = np.zeros(len(w)), rest / diagonal
         to, rz = z, rest @ z
         for _ in range(500):
@@ -102,20 +108,21 @@ def fit_kinds(x: Kinds, y: np.ndarray) -> Logistic:
     return Logistic(np.zeros(x.width), np.ones(x.width), w[:-1], float(w[-1]))
 
 
-def fit_logistic(x: np.ndarray | Kinds, y: np.ndarray, ridge: float) -> Logistic:
+def fit_logistic(x: np.ndarray | Kinds, y: np.ndarray, ridge: float, weight: np.ndarray | None = None) -> Logistic:
     """Newton's method on standardised columns; a constant column gets no weight."""
     if isinstance(x, Kinds):
-        return fit_kinds(x, y)
+        return fit_kinds(x, y, weight)
+    by = np.ones(len(y)) if weight is None else weight
     mean, scale = x.mean(0), x.std(0)
     scale = np.where(scale > 1e-6, scale, np.inf)
     z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
-    penalty = np.full(len(w), ridge * len(x))
+    penalty = np.full(len(w), ridge * by.sum())
     penalty[-1] = 1e-9
     for _ in range(25):
         q = sigmoid(z @ w)
-        h = (z * np.maximum(q * (1 - q), 1e-6)[:, None]).T @ z + np.diag(penalty)
-        move = np.linalg.solve(h, z.T @ (y - q) - penalty * w)
+        h = (z * (by * np.maximum(q * (1 - q), 1e-6))[:, None]).T @ z + np.diag(penalty)
+        move = np.linalg.solve(h, z.T @ (by * (y - q)) - penalty * w)
         move *= min(1.0, 5 / (np.abs(move).max() + 1e-12))
         w = w + move
         if np.abs(move).max() < 1e-6:
@@ -127,126 +134,238 @@ def fit_logistic(x: np.ndarray | Kinds, y: np.ndarray, ridge: float) -> Logistic
 Known = tuple[dict[str | None, int], dict[str | None, int]]
 
 
+@dataclass
+class Rows:
+    """Documents as both views see them; at: the hash of the id. A size of -1 is null."""
+
+    at: np.ndarray
+    lang: list
+    source: list
+    size: np.ndarray
+    text: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def take(self, i: np.ndarray) -> Rows:
+        return Rows(self.at[i], [self.lang[k] for k in i], [self.source[k] for k in i], self.size[i], self.text[i])
+
+    def __add__(self, other: Rows) -> Rows:
+        return Rows(np.concatenate([self.at, other.at]), self.lang + other.lang, self.source + other.source, np.concatenate([self.size, other.size]), np.concatenate([self.text, other.text]))
+
+    @classmethod
+    def of(cls, rows: pa.RecordBatch | pa.Table) -> Rows:
+        t = rows.column("t")
+        t = t if isinstance(t, pa.Array) else pa.concat_arrays(t.chunks) if t.num_chunks else pa.array([], pa.binary())
+        return cls(rows.column("at").to_numpy(), rows.column("lang").to_pylist(), rows.column("source").to_pylist(), rows.column("size").fill_null(-1).to_numpy(), matrix(t, np.float16, SHAPES).astype(np.float32))
+
+
 @dataclass
 class Model:
+    """trust: of each view, the part of its log-odds over the labels' that it may teach by. taught: by round, how many good and bad documents the text view gave, and the metadata view."""
+
     text: Logistic
     meta: Logistic
     text_scale: Logistic
     meta_scale: Logistic
     both: Logistic
     known: Known = ({}, {})
+    trust: tuple[float, float] = (1.0, 1.0)
+    taught: list[tuple[int, int, int, int]] = field(default_factory=list)
 
-    def odds(self, text: np.ndarray, meta: np.ndarray | Kinds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = self.text_scale(self.text(text)[:, None]), self.meta_scale(self.meta(meta)[:, None])
+    def odds(self, rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-odds that a document is good, by each view, calibrated, and by both."""
+        a, b = self.text_scale(self.text(rows.text)[:, None]), self.meta_scale(self.meta(metadata(rows, self.known))[:, None])
         return a, b, self.both(np.stack([a, b], 1))
 
 
-def seen(lang: list, source: list) -> Known:
+def seen(rows: Rows) -> Known:
     """A column for each language and each source, null being a value too."""
-    langs, sources = (sorted(set(column), key=lambda v: (v is not None, v)) for column in (lang, source))
+    langs, sources = (sorted(set(column), key=lambda v: (v is not None, v or "")) for column in (rows.lang, rows.source))
     return {v: META + i for i, v in enumerate(langs)}, {v: META + len(langs) + i for i, v in enumerate(sources)}
 
 
-def metadata(lang: list, source: list, size: np.ndarray, known: Known) -> Kinds:
-    """The columns of language, source and the length's power of two; a null length counts as the greatest."""
-    at = np.empty((len(lang), 3), np.int64)
-    for k, column in enumerate((lang, source)):
+def metadata(rows: Rows, known: Known) -> Kinds:
+    """The columns of language, source, and the length's power of two and its quarter; a null length has one of its own."""
+    at = np.empty((len(rows), 4), np.int64)
+    for k, column in enumerate((rows.lang, rows.source)):
         at[:, k] = [known[k].get(v, k) for v in column]
-    at[:, 2] = 2 + np.clip(np.where(size < 0, 23, np.log2(np.maximum(size, 0) + 1)), 0, 23).astype(np.int64)
+    size = np.log2(np.maximum(rows.size, 0) + 1.0)
+    for k, parts, first in ((2, 1, 2), (3, 4, 2 + SIZES)):
+        at[:, k] = np.where(rows.size < 0, META - 1, first + np.minimum((parts * size).astype(np.int64), parts * SIZES - 1))
     return Kinds(at, META + len(known[0]) + len(known[1]))
 
 
-def metadata_of(rows: pa.RecordBatch | pa.Table, known: Known | None = None) -> tuple[Kinds, Known]:
-    """The metadata view of rows; without known, of what they have themselves."""
-    lang, source = rows.column("lang").to_pylist(), rows.column("source").to_pylist()
-    known = seen(lang, source) if known is None else known
-    return metadata(lang, source, rows.column("size").cast(pa.int64()).fill_null(-1).to_numpy(), known), known
+#: (view, class) to the documents that the view is most confident of, and its log-odds.
+Given = dict[tuple[int, int], tuple[Rows, np.ndarray]]
+
+
+def confident(rows: Rows, model: Model, prior: float, skip: tuple[np.ndarray, np.ndarray], p: Params) -> Given:
+    """The p.teach documents of each kind that each view is most confident of, less those (skip) that it has no need to teach."""
+    out = {}
+    first = np.zeros(len(rows), bool)
+    first[np.unique(rows.at, return_index=True)[1]] = True
+    for view, odds in enumerate(model.odds(rows)[:2]):
+        odds = prior + model.trust[view] * (odds - prior)
+        free = first & ~np.isin(rows.at, skip[view])
+        for good, by in ((1, odds - prior), (0, prior - odds)):
+            i = np.flatnonzero(free & (by >= np.log(p.lift)))
+            i = i[np.lexsort((rows.at[i], -by[i]))][: p.teach]
+            out[view, good] = rows.take(i), odds[i]
+    return out
+
 
+def worth(q: np.ndarray, share: float) -> np.ndarray:
+    """The information in probabilities q over that in the share of good labels, as a part of what a label of the same kind has."""
+    q = np.clip(q, 1e-9, 1 - 1e-9)
+    return np.clip((q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share))) / -np.log(np.where(q >= share, share, 1 - share)), 0, 1)
 
-def train(text: np.ndarray, meta: np.ndarray | Kinds, y: np.ndarray, p: Params, known: Known = ({}, {})) -> Model:
-    """y: 1 good, 0 bad, -1 without a label. With one kind of label only, everything scores about its share."""
-    labelled = np.flatnonzero(y >= 0)
-    pool = np.flatnonzero(y < 0)
-    held = labelled[np.arange(len(labelled)) % p.held == p.held - 1]
-    learn = np.setdiff1d(labelled, held)
-    if len(set(y[learn].tolist())) < 2 or len(set(y[held].tolist())) < 2:
-        rate = (np.sum(y == 1) + 1) / (len(labelled) + 2)
+
+def trusted(x: np.ndarray, y: np.ndarray, scale: Logistic) -> float:
+    """1 less 1.64 standard errors of a calibration's slope, as a part of it, 0 at least: what held-out documents vouch for."""
+    q = sigmoid(scale(x[:, None]))
+    z = np.stack([(x - scale.mean[0]) / scale.scale[0], np.ones(len(x))], 1)
+    spread = np.linalg.inv((z * np.maximum(q * (1 - q), 1e-9)[:, None]).T @ z + 1e-9 * np.eye(2))[0, 0] ** 0.5
+    return float(np.clip(1 - 1.64 * spread / max(scale.weights[0], 1e-12), 0, 1))
+
+
+def train(rows: Rows, y: np.ndarray, p: Params, gather: Callable[[Model, float, tuple[np.ndarray, np.ndarray]], Given]) -> Model:
+    """y: 1 good, 0 bad. gather(model, prior, skip) is confident() of all unlabelled documents. With one kind of label only, everything scores about its share."""
+    held = np.arange(len(y)) % p.held == p.held - 1
+    learn, check = np.flatnonzero(~held), np.flatnonzero(held)
+    if len(set(y[learn].tolist())) < 2 or len(set(y[check].tolist())) < 2:
+        known, rate = seen(rows), (np.sum(y == 1) + 1) / (len(y) + 2)
         flat = lambda n, b: Logistic(np.zeros(n), np.ones(n), np.zeros(n), b)
         prior = float(np.log(rate / (1 - rate)))
         return Model(flat(SHAPES, 0.0), flat(META + len(known[0]) + len(known[1]), 0.0), flat(1, prior), flat(1, prior), flat(2, prior), known)
     share = y[learn].mean()
-    views, taught = [text, meta], [dict.fromkeys(learn.tolist()) | {}, dict.fromkeys(learn.tolist()) | {}]
-    for t in taught:
-        for i in t:
-            t[i] = float(y[i])
-
-    def fitted(k: int) -> tuple[Logistic, Logistic]:
-        at = np.array(list(taught[k]))
-        model = fit_logistic(views[k][at], np.array(list(taught[k].values())), p.ridge)
-        return model, fit_logistic(model(views[k][held])[:, None], y[held].astype(float), 1e-3)
-
-    models = [fitted(0), fitted(1)]
+    prior = float(np.log(share / (1 - share)))
+    own, tests, truth = rows.take(learn), rows.take(check), y[check].astype(float)
+    # By the view that is taught: rows, labels and weights.
+    sets = [(own, y[learn].astype(float), np.ones(len(learn))) for _ in (0, 1)]
+    counts: list[tuple[int, int, int, int]] = []
+
+    def fitted() -> Model:
+        known = seen(sets[0][0] + sets[1][0])
+        text = fit_logistic(sets[0][0].text, sets[0][1], p.ridge, sets[0][2])
+        meta = fit_logistic(metadata(sets[1][0], known), sets[1][1], p.ridge, sets[1][2])
+        raw = text(tests.text), meta(metadata(tests, known))
+        scales = [fit_logistic(x[:, None], truth, 1e-3) for x in raw]
+        odds = np.stack([s(x[:, None]) for s, x in zip(scales, raw)], 1)
+        trust = tuple(trusted(x, truth, s) for x, s in zip(raw, scales))
+        # A view that held-out documents don't vouch for, or speak against, has no say.
+        odds = odds * (np.array(trust) > 0)
+        both = fit_logistic(odds, truth, 1e-3)
+        if (both.weights < 0).any():
+            both = fit_logistic(odds * (both.weights > 0), truth, 1e-3)
+        return Model(text, meta, *scales, both, known, trust, counts)
+
+    model = fitted()
     for _ in range(p.rounds):
-        news = []
-        for k in (0, 1):
-            model, scale = models[k]
-            prob = sigmoid(scale(model(views[k][pool])[:, None])) if len(pool) else np.zeros(0)
-            free = np.array([i not in taught[1 - k] for i in pool], bool)
-            good = np.flatnonzero(free & (prob >= p.sure))
-            bad = np.flatnonzero(free & (prob <= 1 - p.sure))
+        given = gather(model, prior, tuple(np.concatenate([rows.at, sets[1 - view][0].at]) for view in (0, 1)))
+        count = []
+        for view in (0, 1):
+            good, bad = len(given[view, 1][0]), len(given[view, 0][0])
             # In the labels' proportion, so that an easy kind doesn't swamp the other.
-            n = int(min(p.teach, len(good) / max(share, 1e-9), len(bad) / max(1 - share, 1e-9)))
-            good, bad = good[np.argsort(-prob[good], kind="stable")][: int(n * share)], bad[np.argsort(prob[bad], kind="stable")][: n - int(n * share)]
-            news.append({int(pool[i]): v for at, v in ((good, 1.0), (bad, 0.0)) for i in at})
-        if not any(news):
+            n = min(p.teach, good / share, bad / (1 - share))
+            for kind, most in ((1, round(n * share)), (0, round(n * (1 - share)))):
+                more, odds = given[view, kind]
+                i = np.arange(min(most, len(more)))
+                q = sigmoid(odds[i])
+                old = sets[1 - view]
+                sets[1 - view] = old[0] + more.take(i), np.concatenate([old[1], q]), np.concatenate([old[2], worth(q, share)])
+                count.append(len(i))
+        if not any(count):
             break
-        taught[1] |= news[0]
-        taught[0] |= news[1]
-        models = [fitted(0), fitted(1)]
-    odds = np.stack([s(m(v[held])[:, None]) for (m, s), v in zip(models, views)], 1)
-    return Model(models[0][0], models[1][0], models[0][1], models[1][1], fit_logistic(odds, y[held].astype(float), 1e-3), known)
-
+        counts.append(tuple(count))
+        model = fitted()
+    return model
 
-def chosen(docs: DataFrame, doc_id: str, text: str, lang: str, source: str, size: str) -> DataFrame:
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(size).cast("long").alias("size"))
 
-
-def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", size: str = "n_chars", label: str = "quality") -> Model:
-    """A model from p.sample labelled documents and p.pool others. Rows with a null id aren't used; of several labels of an id the least counts."""
+def featured(docs: DataFrame, doc_id: str, text: str, lang: str, source: str, size: str) -> DataFrame:
+    """(id, at, lang, source, size, t) of every row of docs, t being the text view's features."""
+    kind = kind_of(docs, doc_id)
+    names = ["id", "at", "lang", "source", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("id", "y", "lang", "source", "size")), binary(shapes(data, bounds))], ["id", "y", "lang", "source", "size", "t"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), binary(shapes(data, bounds))], [*names, "t"])
+
+    chosen = docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(doc_id).cast("string")).alias("at"), F.col(lang).cast("string").alias("lang"), F.col(source).cast("string").alias("source"), F.col(size).cast("long").alias("size"), F.col(text).alias("text"))
+    return chosen.mapInArrow(run, f"id {kind}, at long, lang string, source string, size long, t binary")
+
+
+def fit_featured(ws: Workspace, rows: DataFrame, labels: DataFrame, p: Params, doc_id: str, label: str) -> Model:
+    """A model from featured() rows."""
+    labelled = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
+    some = F.broadcast(sampled(labelled, F.col("id"), p.sample))
+    columns = ["at", "lang", "source", "size", "t"]
+    picked = rows.join(some, "id").groupBy("id", "y").agg(F.min(F.struct(*columns)).alias("r")).select("y", "r.*").toArrow().sort_by("at").combine_chunks()
+    pool, schema = rows.where("id is not null").select(*columns), "view int, good int, odds double, at long, lang string, source string, size long, t binary"
+
+    def gather(model: Model, prior: float, skip: tuple[np.ndarray, np.ndarray]) -> Given:
+        sent = ws.spark.sparkContext.broadcast((model, prior, skip))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, prior, skip = sent.value
+            best: dict[tuple[int, int], tuple[Rows, np.ndarray]] = {}
+            for batch in batches:
+                for key, (more, odds) in confident(Rows.of(batch), model, prior, skip, p).items():
+                    have = best.get(key, (more.take(np.zeros(0, np.int64)), odds[:0]))
+                    more, odds = have[0] + more, np.concatenate([have[1], odds])
+                    fresh = np.unique(more.at, return_index=True)[1]
+                    fresh = fresh[np.lexsort((more.at[fresh], -np.abs(odds[fresh] - prior)))][: p.teach]
+                    best[key] = more.take(fresh), odds[fresh]
+            for (view, good), (r, odds) in best.items():
+                n = len(r)
+                yield pa.RecordBatch.from_arrays([pa.array([view] * n, pa.int32()), pa.array([good] * n, pa.int32()), pa.array(odds, pa.float64()), pa.array(r.at), pa.array(r.lang, pa.string()), pa.array(r.source, pa.string()), pa.array(r.size), binary(r.text.astype(np.float16))], ["view", "good", "odds", *columns])
+
+        found = ws.table(pool.mapInArrow(run, schema)).dropDuplicates(["view", "good", "at"])
+        out = {}
+        for view in (0, 1):
+            for good in (0, 1):
+                top = found.where((F.col("view") == view) & (F.col("good") == good)).orderBy(F.desc(F.abs(F.col("odds") - prior)), "at").limit(p.teach).toArrow()
+                out[view, good] = Rows.of(top), top.column("odds").to_numpy()
+        sent.destroy()
+        return out
+
+    return train(Rows.of(picked), picked.column("y").to_numpy(), p, gather)
+
+
+def scored(rows: DataFrame, model: Model, p: Params) -> DataFrame:
+    sent, least = rows.sparkSession.sparkContext.broadcast(model), p.keep
 
-    labelled = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.min("y").alias("y"))
-    rows = chosen(docs, doc_id, text, lang, source, size).where("id is not null")
-    some = sampled(labelled, F.col("id"), p.sample)
-    # Twice the pool by hash, of which the unlabelled are used: that needs no join of all documents.
-    others = sampled(rows.select("id"), F.col("id"), 2 * p.pool).withColumn("y", F.lit(-1)).join(F.broadcast(sampled(labelled, F.col("id"), p.sample).select("id")), "id", "left_anti").limit(p.pool)
-    picked = some.union(others).groupBy("id").agg(F.max("y").alias("y"))
-    made = rows.join(F.broadcast(picked), "id").mapInArrow(run, "id long, y int, lang string, source string, size long, t binary").toArrow().sort_by("id").combine_chunks()
-    made_t = pa.concat_arrays(made.column("t").chunks) if made.num_rows else pa.array([], pa.binary())
-    meta, known = metadata_of(made)
-    return train(matrix(made_t, np.float32, SHAPES), meta, made.column("y").to_numpy(), p, known)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, both = (np.round(sigmoid(x), 4) for x in sent.value.odds(Rows.of(batch)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(a), pa.array(b), pa.array(both), pa.array(both >= least)], ["doc_id", "text_score", "meta_score", "quality", "keep"])
+
+    return rows.mapInArrow(run, f"doc_id {kind_of(rows, 'id')}, text_score double, meta_score double, quality double, keep boolean")
+
+
+def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", size: str = "n_chars", label: str = "quality") -> Model:
+    """A model from p.sample labelled documents and all others. Rows with a null id aren't used; of several labels of an id the least counts, of several rows of an id the least, by its metadata, is learnt from."""
+    with Workspace(docs.sparkSession) as ws:
+        return fit_featured(ws, ws.table(featured(docs, doc_id, text, lang, source, size)), labels, p, doc_id, label)
 
 
 def score(docs: DataFrame, model: Model, p: Params = Params(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", size: str = "n_chars") -> DataFrame:
     """(doc_id, text_score, meta_score, quality, keep) for every row of docs.
 
-    Nulls: a null text counts as empty, null metadata as a value of its own; rows with a null id are scored too. Very
-    long texts are read whole. Repeated rows have a row each. An empty table gives no rows. Other columns are not
-    looked at, whatever their names.
+    Ids may be of any type. Nulls: a null text counts as empty, null metadata as values of their own; rows with a null
+    id are scored too. Very long texts are read whole. Repeated rows have a row each. An empty table gives no rows. Other
+    columns are not looked at, whatever their names.
     """
-    sent, least = docs.sparkSession.sparkContext.broadcast(model), p.keep
+    return scored(featured(docs, doc_id, text, lang, source, size), model, p)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, bounds in slices(batches, "text"):
-            a, b, both = (np.round(sigmoid(x), 4) for x in sent.value.odds(shapes(data, bounds), metadata_of(rows, sent.value.known)[0]))
-            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(a), pa.array(b), pa.array(both), pa.array(both >= least)], ["doc_id", "text_score", "meta_score", "quality", "keep"])
 
-    return chosen(docs, doc_id, text, lang, source, size).mapInArrow(run, "doc_id long, text_score double, meta_score double, quality double, keep boolean")
+def classified(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", size: str = "n_chars", label: str = "quality") -> tuple[DataFrame, Model]:
+    """fit() and score() of the same documents, whose texts are read once."""
+    with Workspace(docs.sparkSession) as ws:
+        rows = ws.table(featured(docs, doc_id, text, lang, source, size))
+        model = fit_featured(ws, rows, labels, p, doc_id, label)
+        return ws.keep(scored(rows, model, p)), model
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return score(docs, fit(docs, read(spark, sf_dir, "labels")))
+    return classified(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))[0]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ragged, read, slices
+from .base import kind_of, ragged, read, slices
 from .features import sampled, sentences, sigmoid
 
 
@@ -58,6 +58,15 @@ def noisy_or(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
     return -np.expm1(logs[first[1:]] - logs[first[:-1]])
 
 
+def gradient(w: np.ndarray, bias: float, columns: np.ndarray, at: np.ndarray, first: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Of the mean negative log-likelihood of documents' labels, by weights and bias. A sentence of a toxic document has to answer for it by its score over the odds of the whole."""
+    score = Model(w, bias, 0).scores(columns, at)
+    total = np.clip(noisy_or(score, first), 1e-9, 1 - 1e-12)
+    pull = np.where(labels > 0, -(1 - total) / total, 1.0)
+    g = score * np.repeat(pull, np.diff(first)) / len(labels)
+    return np.bincount(columns, np.repeat(g, np.diff(at)), len(w)), float(g.sum())
+
+
 def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, p: Params) -> Model:
     """docs: (columns, at) of each document's sentences."""
     size = 1 << p.bits
@@ -90,13 +99,10 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, p: Para
             columns, at, first = joined(which)
             if not len(columns):
                 continue
-            score = Model(w, bias, 0).scores(columns, at)
-            total = np.clip(noisy_or(score, first), 1e-9, 1 - 1e-12)
-            pull = np.where(labels[which] > 0, -(1 - total) / total, 1.0)
-            g = score * np.repeat(pull, np.diff(first)) / len(which)
-            grad = np.bincount(columns, np.repeat(g, np.diff(at)), size) * tells + p.decay * w
+            grad, slope = gradient(w, bias, columns, at, first, labels[which])
+            grad = grad * tells + p.decay * w
             step += 1
-            for x, y, z, is_bias in ((grad, m, v, False), (g.sum(), mb, vb, True)):
+            for x, y, z, is_bias in ((grad, m, v, False), (slope, mb, vb, True)):
                 y = 0.9 * y + 0.1 * x
                 z = 0.999 * z + 0.001 * x * x
                 move = p.rate * (y / (1 - 0.9**step)) / (np.sqrt(z / (1 - 0.999**step)) + 1e-8)
@@ -117,7 +123,7 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, p: Para
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from the labelled documents, p.sample of them at most. Rows with a null id, text or label are not used; the greatest label of an id counts."""
+    """A model from the labelled documents, p.sample of them at most. Rows with a null id, text or label are not used; the greatest label of an id counts, and the least of its texts."""
     bits = p.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,10 +133,11 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: str =
             counts = np.diff(s.at).astype(np.int32)
             yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("y"), ragged(s.columns.astype(np.int32), cuts), ragged(counts, s.first)], ["id", "y", "columns", "counts"])
 
-    known = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
+    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     chosen = sampled(known, F.col("id"), p.sample)
-    some = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    rows = some.join(F.broadcast(chosen), "id").mapInArrow(run, "id long, y int, columns binary, counts binary").toArrow().sort_by("id").combine_chunks()
+    some = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    some = some.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = some.mapInArrow(run, f"id {kind_of(docs, doc_id)}, y int, columns binary, counts binary").toArrow().sort_by("id").combine_chunks()
     columns, counts = (rows.column(c).combine_chunks() for c in ("columns", "counts"))
     made = [(np.frombuffer(a.as_buffer(), np.int32), np.concatenate([[0], np.cumsum(np.frombuffer(b.as_buffer(), np.int32))])) for a, b in zip(columns, counts)]
     return train(made, rows.column("y").to_numpy(), p)
@@ -139,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), doc_id: str =
 def score(docs: DataFrame, model: Model, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score, toxic, spans) for every row of docs: spans (start, stop, score) are the sentences that answer for it, in characters.
 
-    Nulls: a null text counts as empty; rows with a null id are scored too. Empty texts score 0. Very long texts are
+    Ids may be of any type. Nulls: a null text counts as empty; rows with a null id are scored too. Empty texts score 0. Very long texts are
     scored whole. Repeated rows have a row each. An empty table gives no rows. Other columns are not looked at.
     """
     sent = docs.sparkSession.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias, model.threshold))
@@ -164,8 +171,8 @@ def score(docs: DataFrame, model: Model, p: Params = Params(), doc_id: str = "do
                 found.append(own)
             yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(np.round(whole, 4)), pa.array(toxic), pa.array(found, span)], ["doc_id", "score", "toxic", "spans"])
 
-    chosen = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, score double, toxic boolean, spans array<struct<start:long,stop:long,score:double>>")
+    chosen = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    return chosen.mapInArrow(run, f"doc_id {kind_of(docs, doc_id)}, score double, toxic boolean, spans array<struct<start:long,stop:long,score:double>>")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
