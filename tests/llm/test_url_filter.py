@@ -1,6 +1,6 @@
 import random
 
-from cases import rows
+from cases import lettered, rows
 from pyspark.sql import functions as F
 
 from lodestone.llm.url_filter import match, rule_prefix, url_key
@@ -50,6 +50,17 @@ def test_keys(spark):
     assert got == ["com,example,M,)/a?b".lower(), "com,example,)/", "com,example,)/?q", "org,e,)/x", "org,e,)/"]
 
 
+def test_canonical_keys(spark):
+    urls = ["http://10.0.0.1:80/x", "http://[2001:DB8::1]:8080/y", "http://a.b/%7euser/%2fq%41%zz%", "http://1.2.3.x/"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(url_key(F.col("u"))).collect()]
+    assert got == ["10.0.0.1,)/x", "[2001:db8::1],)/y", "b,a,)/~user/%2FqA%zz%", "x,3,2,1,)/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = [(1, ".0.1", "block"), (2, "10.0.0.1", "allow"), (3, "a.b/~", "block"), (4, "[2001:db8::1]", "allow")]
+    assert rows(match(pages, spark.createDataFrame(rules, RULES)).select("page_id", "rule_id")) == [(0, 2), (1, 4), (2, 3), (3, None)]
+    assert rule_prefix("10.0.0.1/a") == "10.0.0.1,)/a" and rule_prefix(".e.org") == "org,e,"
+    assert rows(match(lettered(pages, "page_id"), spark.createDataFrame(rules, RULES)).select("page_id", "rule_id")) == [("id-0", 2), ("id-1", 4), ("id-2", 3), ("id-3", None)]
+
+
 def test_odd_rows(spark):
     pages = spark.createDataFrame([(None, "http://a.b/"), (1, None), (2, ""), (3, "  "), (4, "http://a.b/" + "x" * 5000), (4, "http://a.b/"), (5, "???")], "page_id long, url string")
     rules = spark.createDataFrame([(7, "a.b", "block"), (5, "a.b", "allow")], RULES)
