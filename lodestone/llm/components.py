@@ -1,4 +1,4 @@
-"""Connected components of an edge list by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components of an edge list by local forests and alternating large-star and small-star steps (Kiveris et al., 2014)."""
 
 from __future__ import annotations
 
@@ -8,41 +8,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Workspace
+from .base import Workspace, kind_of
 
+#: Edges that a task joins at once; so many fit in its memory at any size of the corpus.
+CHUNK = 200_000
 
-#: Up to so many edges, 16 bytes each, one task joins them without any step.
-LOCAL = 4_000_000
 
+def forest(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Edges (a, b) that connect what edges do, a star for each group within a chunk of a partition."""
+    kind = kind_of(edges, "a")
 
-def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, root) of all edges (a, b), by union-find; the least node is the root."""
-    parent: dict[int, int] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+        held = 0
 
-    def find(x: int) -> int:
-        top = x
-        while (up := parent.setdefault(top, top)) != top:
-            top = up
-        while parent[x] != top:
-            parent[x], x = top, parent[x]
-        return top
+        def find(x):
+            top = x
+            while (up := parent.setdefault(top, top)) != top:
+                top = up
+            while parent[x] != top:
+                parent[x], x = top, parent[x]
+            return top
 
-    for rows in batches:
-        for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist()):
-            a, b = find(a), find(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    for i in range(0, len(nodes), 10_000):
-        part = nodes[i : i + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["node", "root"])
+        def stars() -> pa.RecordBatch:
+            pairs = [(find(x), x) for x in list(parent)]
+            pairs = [(a, b) for a, b in pairs if a != b]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], rows.column("a").type) for k in (0, 1)], ["a", "b"])
 
+        for rows in batches:
+            for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist()):
+                a, b = find(a), find(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            held += rows.num_rows
+            if held >= chunk:
+                yield stars()
+                parent, held = {}, 0
+        if parent:
+            yield stars()
 
-def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges (a, b); root is the least node of its component. No edges give no rows.
+    return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
 
-    Few edges are joined in one task. Else each step replaces the edges by a table in the workspace, so the plan stays short and a lost executor costs one
-    step. The number of steps grows with the logarithm of the longest chain.
+
+def connected_components(ws: Workspace, edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(node, root) for every node of edges (a, b), which may be of any type that sorts; root is the least node of its component. No edges give no rows.
+
+    Tasks first join the edges that they read. Star steps then go on until the edges are stars; each replaces the edges
+    by a table in the workspace, so the plan stays short and a lost executor costs one step. The number of steps grows
+    with the logarithm of the longest chain.
     """
 
     def least(e: DataFrame) -> DataFrame:
@@ -58,18 +71,12 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
         low = down.groupBy(F.col("n").alias("k")).agg(F.min("v").alias("m"))
         return down.join(low, down.n == low.k).select(F.col("m").alias("a"), F.explode(F.array("v", "n")).alias("b")).where("a < b").distinct()
 
-    def mark(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        return tuple(r)
+    def done(e: DataFrame) -> bool:
+        """Whether each node hangs on one other at most, and on one that hangs on none."""
+        ends = e.select(F.col("a").alias("n"), F.lit(0).alias("up")).union(e.select(F.col("b").alias("n"), F.lit(1).alias("up")))
+        return ends.groupBy("n").agg(F.sum("up").alias("up"), F.min("up").alias("low")).where("up > 1 or up = 1 and low = 0").isEmpty()
 
-    edges = ws.table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    before = mark(edges)
-    if before[0] <= LOCAL:
-        return edges.coalesce(1).mapInArrow(united, "node long, root long")
-    while before[0]:
+    edges = ws.table(forest(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b"), chunk).distinct())
+    while not done(edges):
         edges = ws.table(small(large(edges)))
-        now = mark(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
