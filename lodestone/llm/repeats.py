@@ -11,8 +11,11 @@ What is marked is every passage of p.length words or more that occurs at another
    segments is compressed to runs. Samples at both ends of each run hold a text position and how many words it has in
    common with its neighbour in suffix order. Between two samples in the text that number falls by one a word, so one
    pass along the text streams the matching statistics: at each word, the longest match anywhere else.
-4. A gram with so many different contexts that no index should hold them gets its passages compared by hash instead,
-   across the cluster; the result is the same.
+4. A hot gram, an anchor at more than `crowd` places, is never brought to one task: its equal contexts are counted with
+   sums before the exchange, and the passages of the others are compared by hash across the cluster. The result is the
+   same by either way; `crowd` bounds what a task holds, not what is found.
+
+Places are told by id and a hash of the text, so rows of one id that differ in text don't disturb each other.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import Workspace, Scan, fold, grams, mix, nearly, powers, ragged, read, scan, slices
+from .base import Scan, Workspace, fold, grams, kind_of, mix, nearly, powers, ragged, read, scan, several, slices
 
 
 @dataclass(frozen=True)
 class Params:
-    """length: words of a passage. gram: words of an anchor. batch: words of an index. crowd: contexts of a gram beyond which no index holds them."""
+    """length: words of a passage. gram: words of an anchor. batch: words of an index. crowd: places of a gram from which it is hot."""
 
     length: int = 50
     gram: int = 8
@@ -38,6 +41,10 @@ class Params:
     crowd: int = 4_000
 
 
+#: Document and its text's hash, first and end word, first and end character.
+SPAN = ["id", "t", "i", "j", "start", "stop"]
+
+
 def slide(values: np.ndarray, width: int, op: np.ufunc, fill: int) -> np.ndarray:
     """op over values[i : i + width] for each i; fill stands beyond the end."""
     size, out = 1, values
@@ -73,7 +80,8 @@ def contexts(s: Scan, at: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray
 
 
 def anchor_rows(docs: DataFrame, p: Params) -> DataFrame:
-    """(h, c, id, w, start, stop): gram, context, document, word, and the context's characters."""
+    """(h, c, id, t, w, e, start, stop): gram, context, document, its text's hash, word, the context's end word and its characters. docs: (id, t, text)."""
+    kind = kind_of(docs, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in slices(batches, "text"):
@@ -89,15 +97,16 @@ def anchor_rows(docs: DataFrame, p: Params) -> DataFrame:
             chars = s.chars()
             base = chars[bounds[text]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), rows.column("id").take(pa.array(text)), pa.array((at - s.first[text]).astype(np.int32)), pa.array((chars[s.start[lo]] - base).astype(np.int32)), pa.array((chars[s.end[hi - 1]] - base).astype(np.int32))],
-                ["h", "c", "id", "w", "start", "stop"],
+                [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), rows.column("id").take(pa.array(text)), rows.column("t").take(pa.array(text)), pa.array((at - s.first[text]).astype(np.int32)), pa.array((hi - s.first[text]).astype(np.int32)), pa.array((chars[s.start[lo]] - base).astype(np.int32)), pa.array((chars[s.end[hi - 1]] - base).astype(np.int32))],
+                ["h", "c", "id", "t", "w", "e", "start", "stop"],
             )
 
-    return docs.mapInArrow(run, "h long, c long, id long, w int, start int, stop int")
+    return docs.mapInArrow(run, f"h long, c long, id {kind}, t int, w int, e int, start int, stop int")
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
-    """(h, id, at, words, starts, stops): the contexts of wanted (id, anchors (h, w)), at being the first word."""
+    """(h, id, t, at, words, starts, stops): the contexts of wanted (id, t, anchors (h, w)), at being the first word."""
+    kind = kind_of(docs, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in slices(batches, "text"):
@@ -107,9 +116,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
             flat = lists.flatten()
             text = np.repeat(np.arange(rows.num_rows), count)
             at = s.first[text] + flat.field("w").to_numpy()
-            # Rows that share an id may differ in text; an anchor beyond this one's words isn't its own.
-            own = at < s.first[text + 1]
-            text, at, h = text[own], at[own], flat.field("h").to_numpy()[own]
+            h = flat.field("h").to_numpy()
             lo, hi, _ = contexts(s, at, p)
             chars = s.chars()
             for i in range(0, len(at), 20_000):
@@ -119,9 +126,9 @@ def fetch(docs: DataFrame, wanted: DataFrame, p: Params) -> DataFrame:
                 j = np.repeat(a - first[:-1], size) + np.arange(first[-1])
                 base = np.repeat(chars[bounds[t]], size)
                 columns = (s.hashes[j].astype(np.uint32), (chars[s.start[j]] - base).astype(np.int32), (chars[s.end[j]] - base).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 20_000]), rows.column("id").take(pa.array(t)), pa.array((a - s.first[t]).astype(np.int32)), *(ragged(x, first) for x in columns)], ["h", "id", "at", "words", "starts", "stops"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 20_000]), rows.column("id").take(pa.array(t)), rows.column("t").take(pa.array(t)), pa.array((a - s.first[t]).astype(np.int32)), *(ragged(x, first) for x in columns)], ["h", "id", "t", "at", "words", "starts", "stops"])
 
-    return docs.join(wanted, "id").mapInArrow(run, "h long, id long, at int, words binary, starts binary, stops binary")
+    return docs.join(wanted, ["id", "t"]).mapInArrow(run, f"h long, id {kind}, t int, at int, words binary, starts binary, stops binary")
 
 
 def suffix_order(t: np.ndarray) -> np.ndarray:
@@ -191,8 +198,8 @@ class RunIndex:
         return out
 
 
-def matches(ids: np.ndarray, at: np.ndarray, words: np.ndarray, starts: np.ndarray, stops: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, start, stop) of the words, each given by document and place, that long matches among these words cover."""
+def matches(ids: np.ndarray, at: np.ndarray, words: np.ndarray, starts: np.ndarray, stops: np.ndarray, p: Params) -> tuple[np.ndarray, ...]:
+    """(document, first word, end word, start, stop) of the words, each given by document and place, that long matches among these words cover."""
     order = np.lexsort((at, ids))
     ids, at = ids[order], at[order]
     fresh = np.concatenate([[True], (ids[1:] != ids[:-1]) | (at[1:] != at[:-1])])
@@ -213,99 +220,115 @@ def matches(ids: np.ndarray, at: np.ndarray, words: np.ndarray, starts: np.ndarr
     follows = np.concatenate([[False], (ids[1:] == ids[:-1]) & (at[1:] == at[:-1] + 1) & inside[:-1]])
     first = np.flatnonzero(inside & ~follows)
     ends = np.flatnonzero(inside & ~np.concatenate([follows[1:] & inside[1:], [False]]))
-    return ids[first], starts[first], stops[ends]
+    return ids[first], at[first], at[ends] + 1, starts[first], stops[ends]
 
 
 def unpacked(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(gram, id, word, hash, start, stop) of every word of contexts."""
+    """(gram, row, word, hash, start, stop) of every word of contexts, row being their place among rows."""
     words, starts, stops = (np.frombuffer(b"".join(rows.column(c).to_pylist()), kind) for c, kind in (("words", np.uint32), ("starts", np.int32), ("stops", np.int32)))
     size = np.array([len(x) // 4 for x in rows.column("words").to_pylist()], np.int64)
     first = np.concatenate([[0], np.cumsum(size)])
-    h, ids, at = (rows.column(c).to_numpy() for c in ("h", "id", "at"))
-    return np.repeat(h, size), np.repeat(ids, size), np.repeat(at - first[:-1], size) + np.arange(first[-1]), words, starts, stops
+    h, at = (rows.column(c).to_numpy() for c in ("h", "at"))
+    return np.repeat(h, size), np.repeat(np.arange(rows.num_rows), size), np.repeat(at - first[:-1], size) + np.arange(first[-1]), words, starts, stops
 
 
-def indexed(parts: DataFrame, p: Params) -> DataFrame:
-    """(id, start, stop) of long matches between contexts of one gram."""
+def documents(rows: pa.Table) -> np.ndarray:
+    """A number for each row's document, by id and text."""
+    code = rows.column("id").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.unique(np.stack([code, rows.column("t").to_numpy().astype(np.int64)]), axis=1, return_inverse=True)[1].reshape(-1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
 
-        def flush(columns: list[np.ndarray]) -> pa.RecordBatch:
-            out = matches(*columns[1:], p)
-            return pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(out[2])], ["id", "start", "stop"])
+def indexed(parts: DataFrame, p: Params) -> DataFrame:
+    """SPAN rows of long matches between contexts of one gram."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) for c in rows.columns], rows.column_names)
+            doc, (_, row, *columns) = documents(rows), unpacked(batch)
+            found, *ends = matches(doc[row], *columns, p)
+            some = np.zeros(doc.max() + 1, np.int64)
+            some[doc] = np.arange(len(doc))
+            at = pa.array(some[found])
+            return pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("t").take(at), *(pa.array(x.astype(np.int32)) for x in ends)], SPAN)
+
+        held: list[pa.RecordBatch] = []
         size = 0
         for rows in batches:
-            if not rows.num_rows:
-                continue
-            held.append(unpacked(rows))
-            size += len(held[-1][0])
-            if size >= p.batch:
-                columns = [np.concatenate(x) for x in zip(*held)]
-                cut = int(np.searchsorted(-(columns[0] != columns[0][-1]).astype(np.int8), 0))
-                # The last gram's contexts may go on in the next batch.
-                if cut:
-                    yield flush([x[:cut] for x in columns])
-                held = [tuple(x[cut:] for x in columns)]
-                size = len(columns[0]) - cut
-        if size:
-            yield flush([np.concatenate(x) for x in zip(*held)])
-
-    return parts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, start int, stop int")
-
-
-def hashed(parts: DataFrame, p: Params) -> DataFrame:
-    """As indexed(), by hashes of all passages of p.length words."""
+            h = rows.column("h").to_numpy()
+            cuts = [0, *(np.flatnonzero(h[1:] != h[:-1]) + 1).tolist(), len(h)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                # An index is closed before the first gram after it has its words.
+                if i < j and size >= p.batch and h[i] != held[-1].column("h")[-1].as_py():
+                    yield flush(held)
+                    held, size = [], 0
+                if i < j:
+                    held.append(rows.slice(i, j - i))
+                    size += sum(len(x) for x in held[-1].column("words").to_pylist()) // 4
+        if held:
+            yield flush(held)
+
+    return parts.repartition("h").sortWithinPartitions("h").mapInArrow(run, f"id {kind_of(parts, 'id')}, t int, i int, j int, start int, stop int")
+
+
+def hashed(ws: Workspace, parts: DataFrame, p: Params) -> DataFrame:
+    """As indexed(), by hashes of all passages of p.length words; what each task has of a passage is summed up before the exchange."""
+    kind = kind_of(parts, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             if not rows.num_rows:
                 continue
-            h, ids, at, words, starts, stops = unpacked(rows)
-            size = np.array([len(x) // 4 for x in rows.column("words").to_pylist()], np.int64)
-            first = np.concatenate([[0], np.cumsum(size)])
-            i = np.flatnonzero(nearly(first, p.length))
+            _, row, place, words, starts, stops = unpacked(rows)
+            size = np.bincount(row, minlength=rows.num_rows)
+            i = np.flatnonzero(nearly(np.concatenate([[0], np.cumsum(size)]), p.length))
             code = grams(mix(words.astype(np.uint64)), p.length)[i]
-            j = i + p.length - 1
-            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(ids[i]), pa.array(starts[i]), pa.array(stops[j])], ["code", "id", "start", "stop"])
+            at = pa.array(row[i])
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), rows.column("id").take(at), rows.column("t").take(at), *(pa.array(x.astype(np.int32)) for x in (place[i], place[i] + p.length, starts[i], stops[i + p.length - 1]))], ["code", *SPAN])
 
-    rows = parts.mapInArrow(run, "code long, id long, start int, stop int").distinct()
-    return rows.withColumn("n", F.count("*").over(Window.partitionBy("code"))).where("n > 1").select("id", "start", "stop")
+    rows = ws.table(parts.mapInArrow(run, f"code long, id {kind}, t int, i int, j int, start int, stop int"))
+    repeated = several(rows.select("code", F.struct("id", "t", "i").alias("place")), "code", "place")
+    return rows.join(repeated.select("code"), "code", "left_semi").select(*SPAN)
 
 
 def merged(spans: DataFrame) -> DataFrame:
-    """Spans (id, start, stop), those that overlap or touch made one."""
-    order = Window.partitionBy("id").orderBy("start", "stop")
-    before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = spans.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1))
-    return new.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    """SPAN rows, those without a word between them made one. A text's spans meet in one task; they are at most as many as its words."""
+    order = Window.partitionBy("id", "t").orderBy("i", "j")
+    before = F.max("j").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.withColumn("new", F.when(F.col("i") <= before, 0).otherwise(1))
+    return new.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy("id", "t", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
 
 
 def repeated_passages(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start, stop): the characters [start, stop) of each document that repeated passages cover, every occurrence.
 
-    A passage is p.length words or more, case and punctuation aside. It may repeat in another document or elsewhere in
-    its own. Nulls: rows whose id or text is null are left out. Texts of fewer words have none; very long ones are read
-    whole. Repeated rows are copies of each other, and so wholly repeated; what rows of one id have is merged. An empty
-    table gives no rows. Other columns of docs are not looked at, whatever their names.
+    Each row is a longest run of words that are all in such passages.
+    A passage is p.length words or more, case and punctuation aside; in scripts without spaces each character is a word.
+    It may repeat in another document or elsewhere in its own. Ids may be of any type that sorts. Nulls: rows whose id or
+    text is null are left out. Texts of fewer words have none; very long ones are read whole. Repeated rows are copies of
+    each other, and so wholly repeated; rows of one id that differ in text are each searched, and what they have is
+    listed under the id. An empty table gives no rows. Other columns of docs are not looked at, whatever their names.
     """
-    chosen = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    chosen = docs.select(F.col(doc_id).alias("id"), F.hash(F.col(text)).alias("t"), F.col(text).alias("text")).where("id is not null and text is not null")
+    place, wanted = F.struct("id", "t", "w"), lambda first: first.groupBy("id", "t").agg(F.collect_list(F.struct("h", "w")).alias("anchors"))
     with Workspace(docs.sparkSession) as ws:
-        rows = anchor_rows(chosen, p).repartition("h")
+        every = ws.table(anchor_rows(chosen, p))
+        hot = ws.side(every.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > p.crowd).select("h"))
         gram, context = Window.partitionBy("h"), Window.partitionBy("h", "c")
-        rows = rows.withColumns({"n": F.count("*").over(context), "k": F.row_number().over(context.orderBy("id", "w"))})
+        rows = every.join(hot, "h", "left_anti").repartition("h").withColumns({"n": F.count("*").over(context), "k": F.row_number().over(context.orderBy("id", "t", "w"))})
         # Contexts of a gram are counted by the first of each.
         rows = ws.table(rows.withColumn("kinds", F.sum((F.col("k") == 1).cast("long")).over(gram)).where("n > 1 or kinds > 1"))
-        spans = rows.where("n > 1").select("id", "start", "stop").distinct()
-        first = rows.where("kinds > 1 and k = 1")
-        for crowded, find in ((False, indexed), (True, hashed)):
-            part = first.where(F.col("kinds") > p.crowd if crowded else F.col("kinds") <= p.crowd)
-            if crowded and part.isEmpty():
-                continue
-            wanted = part.groupBy("id").agg(F.collect_list(F.struct("h", "w")).alias("anchors"))
-            spans = spans.union(find(fetch(chosen, wanted, p), p))
-        return ws.keep(merged(spans).select(F.col("id").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")))
+        span = ["id", "t", F.greatest(F.lit(0), F.col("w") - (p.length - p.gram)).alias("i"), F.col("e").alias("j"), "start", "stop"]
+        spans = rows.where("n > 1").select(*span)
+        few = fetch(chosen, wanted(rows.where("kinds > 1 and k = 1")), p)
+        spans = spans.union(indexed(few, p))
+
+        rows = ws.table(every.join(hot, "h", "left_semi"))
+        kinds = ws.table(rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("first")))
+        spans = spans.union(rows.join(kinds.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select(*span))
+        many = fetch(chosen, wanted(kinds.select("h", "first.*")), p)
+        spans = spans.union(hashed(ws, many, p)).distinct()
+        return ws.keep(merged(spans).select(F.col("id").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).distinct())
 
 
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,12 @@
 import random
-import re
 
 import numpy as np
 import pytest
-from cases import SCHEMA, clashing, empty, odd, rows
+from cases import SCHEMA, WORD, clashing, empty, lettered, odd, rows
 
 from lodestone.llm import repeats
 from lodestone.llm.repeats import Params, RunIndex, repeated_passages
 
-WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
-
 
 def brute(docs, length):
     """Covered words of each document: (id, start, stop) of the word."""
@@ -51,7 +48,7 @@ def corpus(seed, n=60, vocabulary=400):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "crowd", "batch"), [(1, 1000, 200), (2, 1000, 10**6), (3, 2, 500), (4, 0, 500)])
+@pytest.mark.parametrize(("seed", "crowd", "batch"), [(1, 1000, 200), (2, 1000, 10**6), (3, 4, 500), (4, 0, 500)])
 def test_against_brute_force(spark, seed, crowd, batch):
     docs = corpus(seed)
     p = Params(length=10, gram=3, batch=batch, crowd=crowd)
@@ -94,6 +91,32 @@ def test_odd_rows(spark):
     assert rows(repeated_passages(twice)) == [(1, 0, len("w " + " ".join(map(str, range(60)))))]
 
 
+def test_one_id_of_two_texts(spark):
+    """A passage is found wherever it is, if other texts have its document's id."""
+    shared = " ".join(f"s{i}" for i in range(60))
+    docs = [(1, "start " + shared), (1, "another text of the same id"), (2, "x y z " + shared), (3, "alone " * 10)]
+    apart = [(i, t) for i, (_, t) in enumerate(docs)]
+    for crowd in (4000, 0):
+        p = Params(crowd=crowd)
+        got, want = (rows(repeated_passages(spark.createDataFrame(x, "doc_id long, text string"), p)) for x in (docs, apart))
+        assert got == [(1, *want[0][1:]), (2, *want[1][1:])] and len(want) == 2
+
+
+def test_ids_of_letters(spark):
+    docs = spark.createDataFrame(corpus(6, 30), "doc_id long, text string")
+    p = Params(length=10, gram=3)
+    assert rows(repeated_passages(lettered(docs), p)) == sorted(((f"id-{d}", a, b) for d, a, b in rows(repeated_passages(docs, p))), key=repr)
+
+
+def test_punctuation_and_unspaced_scripts(spark):
+    words = [f"s{i}" for i in range(60)]
+    docs = [(1, " ".join(words)), (2, "\u201c" + ",\u00a0".join(words) + "\u201d"), (3, "\u3000".join(words).upper())]
+    assert {r[0] for r in rows(repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")))} == {1, 2, 3}
+    passage = "".join(chr(0x4E00 + 7 * i) for i in range(60))
+    docs = [(1, "前" + passage), (2, passage[:30] + "。" + passage[30:]), (3, passage[:40])]
+    assert rows(repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"))) == [(1, 1, 61), (2, 0, 61)]
+
+
 def test_slide():
     x = np.array([5, 3, 8, 1, 9, 2], np.uint64)
     for w in range(1, 7):
