@@ -1,17 +1,18 @@
 """Benchmark decontamination by one Aho-Corasick automaton over normalised test questions and answers.
 
-Texts and benchmark items are normalised alike: words in lower case, one space between, all else dropped. The patterns
-are an item's passages of `window` words, or the whole item if it is shorter. Every text is normalised and scanned once,
-whole; a hit at word bounds is mapped back to characters of the original text, and hits of one item that overlap or touch
-make one span.
-
-The automaton grows with the benchmark alone. It is built once in a worker, from patterns that are sent to every
-executor; their size is checked, and a benchmark beyond the limit is scanned in several passes, an automaton each.
+Texts and benchmark items are normalised alike: words in lower case, one space between, all else dropped; in scripts
+without spaces each character is a word. The patterns are an item's passages of `window` words, or the whole item if it is
+shorter. Every text is normalised and scanned once, whole; a hit at word bounds is mapped back to characters of the
+original text, and hits of one item that overlap or touch make one span. Items of fewer than `least` words are looked for
+too, but their hits are marked as short: such words may well be there by chance.
+
+The automaton grows with the benchmark alone. Passages are made by the executors; the driver reads them a group at a time,
+each of `limit` characters at most, and sends each group on. A task scans a text by all groups' automata in one pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
@@ -21,12 +22,12 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import LOWER, UPPER, fold, read, slices, texts
+from .base import LOWER, UPPER, WORD, Workspace, fold, kind_of, read, slices, texts, words
 
 
 @dataclass(frozen=True)
 class Params:
-    """window: words of a passage. least: words that an item must have to be looked for. limit: characters of patterns of one automaton."""
+    """window: words of a passage. least: words below which an item's hits are marked as short. limit: characters of the patterns that are sent at once."""
 
     window: int = 13
     least: int = 8
@@ -44,41 +45,24 @@ class Words:
     first: np.ndarray
 
 
-_ASCII = np.zeros(256, bool)
-_ASCII[48:58] = _ASCII[97:123] = True
-_ASCII[128:] = True
-
-
-def word_mask(data: np.ndarray) -> np.ndarray:
-    """Which bytes of folded UTF-8 belong to words: ASCII letters and digits, and characters from U+00C0 on other than general and CJK punctuation."""
-    out = _ASCII[data]
-    for lead, second, width in ((0xC2, None, 2), (0xE2, (0x80, 0x81), 3), (0xE3, (0x80, 0x80), 3)):
-        at = np.flatnonzero(data == lead)
-        if len(at) and second:
-            at = at[(data[np.minimum(at + 1, len(data) - 1)] >= second[0]) & (data[np.minimum(at + 1, len(data) - 1)] <= second[1])]
-        for i in range(width):
-            out[np.minimum(at + i, len(data) - 1)] = False
-    return out
-
-
 def normalise(data: np.ndarray, bounds: np.ndarray) -> Words:
     """Of the raw bytes of texts, text i being bounds[i] up to bounds[i + 1]."""
-    n = len(bounds) - 1
-    low = np.insert(fold(data), bounds[1:], np.uint8(10))
-    stop = bounds[1:] + np.arange(n)
-    word = word_mask(low)
-    word[stop] = False
-    low[~word] = 32
-    low[stop] = 10
-    before = np.concatenate([[False], word[:-1]])
-    after = np.concatenate([word[1:], [False]])
-    keep = word | before
-    keep[stop] = True
-    start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    chars = np.cumsum(keep & ((low & 0xC0) != 0x80))
-    at = chars[start] - 1
-    text = np.searchsorted(stop, start)
-    return Words(low[keep].tobytes().decode("utf-8", "replace"), at, start - text, end - text, np.searchsorted(text, np.arange(n + 1)))
+    low = fold(data)
+    start, end = words(low, bounds)
+    first = np.searchsorted(start, bounds)
+    size = end - start
+    off = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(off[-1], 32, np.uint8)
+    inside = np.ones(off[-1], bool)
+    inside[off[1:] - 1] = False
+    take = np.zeros(len(low) + 1, np.int32)
+    take[start] += 1
+    take[end] -= 1
+    out[inside] = low[np.cumsum(take[:-1]) > 0]
+    last = first[1:][np.diff(first) > 0] - 1
+    out[off[last + 1] - 1] = 10
+    chars = np.cumsum((out & 0xC0) != 0x80)
+    return Words(out.tobytes().decode("utf-8", "replace"), chars[off[:-1]] - 1, start, end, first)
 
 
 def normal_words(text: str) -> list[str]:
@@ -86,135 +70,152 @@ def normal_words(text: str) -> list[str]:
     return normalise(data, bounds).joined.split()
 
 
-def patterns(benchmark: DataFrame, p: Params, item_id: str, text: str) -> list[list[tuple[str, list[int]]]]:
-    """(passage, its items) in groups of p.limit characters at most."""
-    found: dict[str, set[int]] = {}
-    groups, size = [], 0
-    for row in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").distinct().toLocalIterator():
-        words = normal_words(row.t)
-        if len(words) < p.least:
-            continue
-        for j in range(max(1, len(words) - p.window + 1)):
-            passage = " ".join(words[j : j + p.window])
-            if passage not in found:
-                size += len(passage)
-            found.setdefault(passage, set()).add(row.i)
-        if size > p.limit:
-            groups.append(found)
-            found, size = {}, 0
-    return [[(passage, sorted(items)) for passage, items in g.items()] for g in [*groups, found] if g]
+def passages(ws: Workspace, benchmark: DataFrame, p: Params, item_id: str, text: str) -> DataFrame:
+    """(passage, items, g, short), g numbering the groups."""
+    kind = kind_of(benchmark, item_id)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, bounds in slices(batches, "t"):
+            w = normalise(data, bounds)
+            said, of, short = w.joined.split(), [], []
+            made = []
+            for i, (a, b) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist())):
+                for j in range(a, max(a + 1, b - p.window + 1) if b > a else a):
+                    made.append(" ".join(said[j : min(b, j + p.window)]))
+                    of.append(i)
+                    short.append(b - a < p.least)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), rows.column("i").take(pa.array(of, pa.int64())), pa.array(short, pa.bool_())], ["passage", "item", "short"])
+
+    given = benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").distinct()
+    made = given.mapInArrow(run, f"passage string, item {kind}, short boolean").groupBy("passage", "short").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    made = ws.table(made)
+    groups = max(1, -(-(made.agg(F.sum(F.length("passage"))).first()[0] or 0) // p.limit))
+    return ws.table(made.withColumn("g", F.pmod(F.xxhash64("passage"), F.lit(groups)).cast("int")).repartition(min(groups, 200), "g").sortWithinPartitions("g"))
+
+
+def senders(spark: SparkSession, benchmark: DataFrame, p: Params, item_id: str, text: str) -> list[Broadcast]:
+    """A broadcast of (passage, short, items) for each group; the driver holds one group at a time."""
+    with Workspace(spark) as ws:
+        table = passages(ws, benchmark, p, item_id, text)
+        out = []
+        for (g,) in table.select("g").distinct().orderBy("g").collect():
+            rows = table.where(F.col("g") == g).select("passage", "short", "items").toArrow()
+            out.append(spark.sparkContext.broadcast(list(zip(*(rows.column(c).to_pylist() for c in ("passage", "short", "items"))))))
+        return out
 
 
 _built: dict[int, tuple] = {}
 
 
-def automaton(sent: Broadcast) -> ahocorasick.Automaton:
-    key = id(sent.value)
-    if key not in _built:
+def automata(sent: list[Broadcast]) -> list[ahocorasick.Automaton]:
+    """Built once in a worker."""
+    keys = [id(b.value) for b in sent]
+    if any(k not in _built for k in keys):
         _built.clear()
-        a = ahocorasick.Automaton()
-        for passage, items in sent.value:
-            a.add_word(passage, (len(passage), passage.count(" ") + 1, items))
-        a.make_automaton()
-        _built[key] = (sent.value, a)
-    return _built[key][1]
-
-
-def hits(w: Words, a: ahocorasick.Automaton) -> list[tuple[int, int, int, int]]:
-    """(text, item, first word, end word) of spans, words counted over all texts."""
-    found: dict[tuple[int, int], list[list[int]]] = {}
-    for last, (length, words, items) in a.iter(w.joined):
-        begin = last + 1 - length
-        if w.joined[last + 1] not in " \n" or begin and w.joined[begin - 1] not in " \n":
-            continue
-        i = int(np.searchsorted(w.at, begin))
-        doc = int(np.searchsorted(w.first, i, "right")) - 1
-        for item in items:
-            spans = found.setdefault((doc, item), [])
-            if spans and i <= spans[-1][1]:
-                spans[-1][0] = min(spans[-1][0], i)
-                spans[-1][1] = max(spans[-1][1], i + words)
-            else:
-                spans.append([i, i + words])
-    return [(doc, item, *span) for (doc, item), spans in found.items() for span in spans]
+        for k, b in zip(keys, sent):
+            a = ahocorasick.Automaton()
+            for passage, short, items in b.value:
+                # An item of few words and a passage of a longer one are never the same: the latter has window words.
+                a.add_word(passage, (len(passage), passage.count(" ") + 1, short, items))
+            a.make_automaton()
+            _built[k] = (b.value, a)
+    return [_built[k][1] for k in keys]
+
+
+def hits(w: Words, found_by: list[ahocorasick.Automaton], shorts: bool = True) -> list[tuple[int, object, bool, int, int]]:
+    """(text, item, short, first word, end word) of spans, words counted over all texts."""
+    found: dict[tuple, list[tuple[int, int]]] = {}
+    joined, at, first = w.joined, w.at, w.first
+    for a in found_by:
+        for last, (length, size, short, items) in a.iter(joined):
+            begin = last + 1 - length
+            if short and not shorts or joined[last + 1] not in " \n" or begin and joined[begin - 1] not in " \n":
+                continue
+            i = int(np.searchsorted(at, begin))
+            doc = int(np.searchsorted(first, i, "right")) - 1
+            for item in items:
+                found.setdefault((doc, item, short), []).append((i, i + size))
+    out = []
+    for key, spans in found.items():
+        spans.sort()
+        low, high = spans[0]
+        for i, j in spans[1:]:
+            if i > high:
+                out.append((*key, low, high))
+                low, high = i, j
+            high = max(high, j)
+        out.append((*key, low, high))
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, start, stop) for every span of characters [start, stop) of a text that passages of an item cover.
+    """(doc_id, item_id, start, stop, short) for every span of characters [start, stop) of a text that passages of an item cover.
 
-    Nulls: rows of docs or of the benchmark whose id or text is null are left out. Empty texts have no hits; very long
-    ones are scanned whole. Passages that several items share give a span for each. Repeated rows of docs each give
-    theirs; repeated items count once. An empty table gives no rows. Other columns are not looked at, whatever their names.
+    short: the item has fewer than p.least words. Ids may be of any type. Nulls: rows of docs or of the benchmark whose
+    id or text is null are left out. Empty texts have no hits; very long ones are scanned whole. Passages that several
+    items share give a span for each. Repeated rows of docs each give theirs; repeated items count once; an item id with
+    several texts is looked for by all. An empty table gives no rows. Other columns are not looked at, whatever their names.
     """
     spark = docs.sparkSession
-    chosen = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-
-    def scanner(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            a = automaton(sent)
-            for rows, data, bounds in slices(batches, "text"):
-                w = normalise(data, bounds)
-                found = hits(w, a)
-                if not found:
-                    continue
-                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                doc, item, i, j = (np.array(x, np.int64) for x in zip(*found))
-                base = chars[bounds[doc]]
-                ids = rows.column("id").take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(item), pa.array(chars[w.start[i]] - base), pa.array(chars[w.end[j - 1]] - base)], ["doc_id", "item_id", "start", "stop"])
-
-        return run
-
-    schema = "doc_id long, item_id long, start long, stop long"
-    out = spark.createDataFrame([], schema)
-    for group in patterns(benchmark, p, item_id, item_text):
-        out = out.union(chosen.mapInArrow(scanner(spark.sparkContext.broadcast(group)), schema))
-    return out
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs without any hit, with their columns as they are; rows with a null text stay. No exchange: a row is judged where it is read."""
-    spark = docs.sparkSession
-
-    def scanner(sent: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            a = automaton(sent)
-            for rows, data, bounds in slices(batches, text):
-                w = normalise(data, bounds)
-                keep = np.ones(rows.num_rows, bool)
-                keep[[x[0] for x in hits(w, a)]] = False
-                yield rows.filter(pa.array(keep))
+    kinds = kind_of(docs, doc_id), kind_of(benchmark, item_id)
+    chosen = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
+    sent = senders(spark, benchmark, p, item_id, item_text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = automata(sent)
+        for rows, data, bounds in slices(batches, "text"):
+            w = normalise(data, bounds)
+            found = hits(w, by)
+            if not found:
+                continue
+            chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            doc, item, short, i, j = zip(*found)
+            doc, i, j = (np.array(x, np.int64) for x in (doc, i, j))
+            base = chars[bounds[doc]]
+            yield pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(doc)), pa.array(item), pa.array(chars[w.start[i]] - base), pa.array(chars[w.end[j - 1]] - base), pa.array(short)], ["doc_id", "item_id", "start", "stop", "short"])
+
+    return chosen.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, start long, stop long, short boolean")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), text: str = "text", item_id: str = "item_id", item_text: str = "text", shorts: bool = False) -> DataFrame:
+    """The rows of docs without any hit, with their columns as they are. No exchange: a row is judged where it is read.
+
+    shorts: whether items of fewer than p.least words count; by default they don't. Rows with a null or empty text stay;
+    a null id doesn't matter. Very long texts are scanned whole. Repeated rows stay or go together. An empty table gives
+    no rows, an empty benchmark all. Extra columns stay, whatever their names.
+    """
+    sent = senders(docs.sparkSession, benchmark, p, item_id, item_text)
 
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = automata(sent)
+        for rows, data, bounds in slices(batches, text):
+            keep = np.ones(rows.num_rows, bool)
+            keep[[x[0] for x in hits(normalise(data, bounds), by, shorts)]] = False
+            yield rows.filter(pa.array(keep))
 
-    for group in patterns(benchmark, p, item_id, item_text):
-        docs = docs.mapInArrow(scanner(spark.sparkContext.broadcast(group)), docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-WORD = r"(?:[0-9A-Za-z]|[\x{C0}-\x{1FFF}]|[\x{2080}-\x{2FFF}]|[\x{3040}-\x{10FFFF}])+"
-
-
 def sql(docs: str = "documents", benchmark: str = "benchmark") -> str:
-    """WITH clauses that end in dec_spans (row, id, item_id, start, stop), row numbering the rows of docs."""
+    """WITH clauses that end in dec_spans (n, id, item_id, start, stop, short), n numbering the rows of docs."""
     p = Params()
-    words = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}')"
+    found = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}')"
     leads = ", ".join(f"lead(w, {i}) over near as w{i}, lead(stop, {i}) over near as s{i}" for i in range(1, p.window))
-    gram = lambda k: "concat_ws(' ', w, " + ", ".join(f"w{i}" for i in range(1, k)) + ")"
+    gram = lambda k: "concat_ws(' ', w" + "".join(f", w{i}" for i in range(1, k)) + ")"
     return rf"""dec_docs as (select row_number() over () as n, doc_id as id, text from {docs} where doc_id is not null and text is not null),
-dec_words as (select n, id, unnest({words}) as w, unnest(regexp_split_to_array(text, '{WORD}')[1:len({words})]) as gap, generate_subscripts({words}, 1) as j from dec_docs),
+dec_words as (select n, id, unnest({found}) as w, unnest(regexp_split_to_array(text, '{WORD}')[1:len({found})]) as gap, generate_subscripts({found}, 1) as j from dec_docs),
 dec_at as (select n, id, w, j, sum(length(gap) + length(w)) over (partition by n order by j) as stop from dec_words),
-dec_items as (select distinct item_id, text, {words} as ws from {benchmark} where item_id is not null and text is not null),
-dec_passages as (select distinct item_id, k, array_to_string(ws[j:j + k - 1], ' ') as passage from (select item_id, ws, least(len(ws), {p.window}) as k, unnest(range(1, greatest(2, len(ws) - {p.window} + 2))) as j from dec_items where len(ws) >= {p.least})),
-dec_near as (select n, id, j, w, stop - length(w) as start, {leads} from dec_at window near as (partition by n order by j)),
-dec_grams as ({" union all ".join(f"select n, id, j, start, s{k - 1} as stop, {k} as k, {gram(k)} as passage from dec_near" for k in range(p.least, p.window + 1))}),
-dec_hits as (select distinct n, id, item_id, j, j + k as e, start, stop from dec_grams join dec_passages using (k, passage)),
-dec_groups as (select *, sum(new) over (partition by n, item_id order by j, e) as g from (select *, case when j <= max(e) over (partition by n, item_id order by j, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from dec_hits)),
-dec_spans as (select n, id, item_id, min(start)::bigint as start, max(stop)::bigint as stop from dec_groups group by n, id, item_id, g)"""
+dec_items as (select distinct item_id, text, {found} as ws from {benchmark} where item_id is not null and text is not null),
+dec_passages as (select distinct item_id, k, short, array_to_string(ws[j:j + k - 1], ' ') as passage from (select item_id, ws, len(ws) < {p.least} as short, least(len(ws), {p.window}) as k, unnest(range(1, greatest(2, len(ws) - {p.window} + 2))) as j from dec_items where len(ws) > 0)),
+dec_near as (select n, id, j, w, stop, stop - length(w) as start, {leads} from dec_at window near as (partition by n order by j)),
+dec_grams as ({" union all ".join(f"select n, id, j, start, {f's{k - 1}' if k > 1 else 'stop'} as stop, {k} as k, {gram(k)} as passage from dec_near" for k in range(1, p.window + 1))}),
+dec_hits as (select distinct n, id, item_id, short, j, j + k as e, start, stop from dec_grams join dec_passages using (k, passage)),
+dec_groups as (select *, sum(new) over (partition by n, item_id, short order by j, e) as g from (select *, case when j <= max(e) over (partition by n, item_id, short order by j, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from dec_hits)),
+dec_spans as (select n, id, item_id, short, min(start)::bigint as start, max(stop)::bigint as stop from dec_groups group by n, id, item_id, short, g)"""
 
 
-ORACLE = f"with {sql()}\nselect id as doc_id, item_id, start, stop from dec_spans"
+ORACLE = f"with {sql()}\nselect id as doc_id, item_id, start, stop, short from dec_spans"

@@ -1,6 +1,4 @@
-import re
-
-from cases import clashing, empty, odd, rows
+from cases import WORD, clashing, empty, lettered, odd, rows
 
 from lodestone.llm.decontaminate import Params, contamination, drop_contaminated, normal_words
 
@@ -27,8 +25,31 @@ def test_passages_at_word_bounds(spark):
     assert rows(contamination(docs, bench(spark, item)).select("doc_id")) == [(1,), (4,)]
     # The least number of words, and items of fewer.
     short = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "doc_id long, text string")
-    assert contamination(short, bench(spark, "two three four five six seven eight")).count() == 0
-    assert rows(contamination(short, bench(spark, "two three four five six seven eight nine"))) == [(1, 0, 4, 44)]
+    assert rows(contamination(short, bench(spark, "two three four five six seven eight"))) == [(1, 0, 4, 39, True)]
+    assert rows(contamination(short, bench(spark, "two three four five six seven eight nine"))) == [(1, 0, 4, 44, False)]
+
+
+def test_short_items_are_of_a_class_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "All know that the capital of France is: Paris, of course."), (2, "comparison"), (3, "paris")], "doc_id long, text string")
+    b = bench(spark, "the capital of france is paris", "Paris")
+    assert rows(contamination(docs, b)) == [(1, 0, 14, 45, True), (1, 1, 40, 45, True), (3, 1, 0, 5, True)]
+    assert drop_contaminated(docs, b).count() == 3 and rows(drop_contaminated(docs, b, shorts=True).select("doc_id")) == [(2,)]
+
+
+def test_unspaced_scripts(spark):
+    item = "請問法國的首都是哪一座城市？答案是巴黎，因為國王住在那裡。"
+    docs = spark.createDataFrame([(1, "前文。" + item.replace("，", "、") + "後文"), (2, "前文沒有關係，後文也沒有。" * 5), (3, item[3:15])], "doc_id long, text string")
+    assert rows(contamination(docs, bench(spark, item))) == [(1, 0, 3, 31, False)]
+    assert rows(drop_contaminated(docs, bench(spark, item)).select("doc_id")) == [(2,), (3,)]
+
+
+def test_ids_of_letters_and_ids_of_several_texts(spark):
+    docs = spark.createDataFrame([(1, ITEM), (2, "clean")], "doc_id long, text string")
+    got = rows(contamination(lettered(docs), lettered(bench(spark, ITEM), "item_id")))
+    assert got == [("id-1", "id-0", 0, len(ITEM) - 1, False)]
+    other = "some other item of nine words for the id"
+    two = spark.createDataFrame([(0, ITEM), (0, other)], "item_id long, text string")
+    assert rows(contamination(docs.union(spark.createDataFrame([(3, other)], docs.schema)), two)) == [(1, 0, 0, len(ITEM) - 1, False), (3, 0, 0, len(other), False)]
 
 
 def test_several_automata(spark):
@@ -41,8 +62,8 @@ def test_several_automata(spark):
 def test_odd_rows(spark):
     b = bench(spark, ITEM, None, "", "the same row twice and a few words more to make it long enough")
     found = contamination(clashing(odd(spark)), b)
-    assert rows(found) == [(5, 3, 0, 62), (5, 3, 0, 62)]
+    assert rows(found) == [(5, 3, 0, 62, False), (5, 3, 0, 62, False)]
     kept = drop_contaminated(odd(spark), b)
     assert kept.count() == odd(spark).count() - 2 and kept.columns == odd(spark).columns
     assert rows(contamination(empty(spark), b)) == [] and rows(contamination(odd(spark), b.limit(0))) == []
-    assert normal_words("Été, “naïve” 漢字!") == ["été", "naïve", "漢字"] == re.findall(r"\w+", "été naïve 漢字")
+    assert normal_words("Été, “naïve” 漢字!") == ["été", "naïve", "漢", "字"] == WORD.findall("été, “naïve” 漢字!")
