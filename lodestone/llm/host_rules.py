@@ -5,7 +5,8 @@
 2. Failing documents are counted by host. The hosts' rates give a beta prior by moments: its mean is the rate over all
    documents, its weight follows from how far hosts spread beyond what chance would make them. A host's rate is the mean
    of its posterior, so that a host with few documents is judged by the others.
-3. A host whose rate is over the limit is bad. There, a doubt rejects; elsewhere, only a failure does.
+3. A host is bad if its posterior leaves little chance that its rate isn't `worse` times the rate over all documents:
+   the mean less `sure` standard deviations is beyond that. There, a doubt rejects; elsewhere, only a failure does.
 
 Only the table of hosts is exchanged; texts stay where they are read, and are measured once for all verdicts.
 """
@@ -17,7 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Workspace, read, side
+from .base import Workspace, read
+from .url_filter import key_parts
 
 SYMBOLS = r"[#$%&*|{}<>^~=_\\]"
 #: Of every script; the ranges before the classes are found sooner. Marks belong to their letters.
@@ -29,7 +31,10 @@ UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer
 
 @dataclass(frozen=True)
 class Params:
-    """(hard, soft) limits. Shares are of characters without white space, capitals of letters, repeats of lines."""
+    """(hard, soft) limits. Shares are of characters without white space, capitals of letters, repeats of lines.
+
+    worse: a bad host's least rate, as a multiple of the rate over all. sure: posterior standard deviations by which it must be beyond that.
+    """
 
     symbols: tuple[float, float] = (0.06, 0.04)
     shouts: tuple[float, float] = (0.05, 0.02)
@@ -40,7 +45,8 @@ class Params:
     stutter: tuple[float, float] = (0.3, 0.15)
     stutter_words: int = 20
     word_length: tuple[float, float] = (40.0, 25.0)
-    bad_host: float = 0.5
+    worse: float = 1.5
+    sure: float = 2.0
 
 
 def without(text: Column, pattern: str) -> Column:
@@ -87,36 +93,64 @@ def hosts(checked: DataFrame, p: Params) -> DataFrame:
     total = total.select("n", "h0", "sq", m).withColumn("spread", (F.col("sq") - n * F.col("m") * F.col("m") - (F.col("h0") - 1) * F.col("m") * (1 - F.col("m"))) / n)
     weight = F.when(F.col("spread") > 0, F.greatest(F.lit(1.0), F.least(n.cast("double"), F.col("m") * (1 - F.col("m")) / F.col("spread") - 1))).otherwise(n.cast("double"))
     prior = total.select("m", weight.alias("weight"))
-    rate = F.round((F.col("failing") + F.col("m") * F.col("weight")) / (F.col("docs") + F.col("weight")), 6)
-    return by.crossJoin(F.broadcast(prior)).select("h", "docs", "failing", rate.alias("rate")).withColumn("bad", F.col("rate") > p.bad_host)
+    rate = (F.col("failing") + F.col("m") * F.col("weight")) / (F.col("docs") + F.col("weight"))
+    low = rate - p.sure * F.sqrt(rate * (1 - rate) / (F.col("docs") + F.col("weight") + 1))
+    return by.crossJoin(F.broadcast(prior)).select("h", "docs", "failing", F.round(rate, 6).alias("rate"), (F.round(low, 6) > F.round(p.worse * F.col("m"), 6)).alias("bad"))
+
+
+def host_of(url: Column) -> Column:
+    """The host of a URL, in lower case and without a leading "www."; null where there is none."""
+    return F.nullif(F.regexp_replace(key_parts(url)[0], "^www[.]", ""), F.lit(""))
 
 
-def verdicts(docs: DataFrame, p: Params = Params(), host: str = "source", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def host_column(docs: DataFrame, host: str | Column) -> Column:
+    return (docs[host] if isinstance(host, str) else host).cast("string")
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it as far as docs has a column of that name."""
+    have = {c.lower() for c in docs.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n = "_" + n
+        out.append(n)
+    return out
+
+
+def verdicts(docs: DataFrame, p: Params = Params(), host: str | Column = "source", text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*keep, host, failed, doubted, host_docs, host_rate, bad_host, kept) for every row of docs.
 
+    host: a column, by name or as an expression, such as host_of() of a URL.
+
     Nulls: a null text counts as empty, and an empty text fails the rule of letters; rows without a host make one
     host of their own, null. Very long texts are measured whole. Repeated rows count each and each gets its verdict.
     An empty table gives no rows. Other columns of docs are not looked at, whatever their names.
     """
     hard, soft = flags(docs[text], p)
-    rows = docs.select(*(docs[c].alias(f"k{i}") for i, c in enumerate(keep)), docs[host].cast("string").alias("g"), hard.alias("hard"), soft.alias("soft"))
+    rows = docs.select(*(docs[c].alias(f"k{i}") for i, c in enumerate(keep)), host_column(docs, host).alias("g"), hard.alias("hard"), soft.alias("soft"))
     with Workspace(docs.sparkSession) as ws:
         rows = ws.table(rows)
-        judged = side(hosts(rows.select(F.col("g").alias("h"), "hard"), p))
+        judged = ws.side(hosts(rows.select(F.col("g").alias("h"), "hard"), p))
         kept = F.when(F.col("bad"), F.col("soft") == "").otherwise(F.col("hard") == "")
         out = rows.join(judged, rows.g.eqNullSafe(judged.h))
         return ws.keep(out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), F.col("g").alias("host"), F.col("hard").alias("failed"), F.col("soft").alias("doubted"), F.col("docs").alias("host_docs"), F.col("rate").alias("host_rate"), F.col("bad").alias("bad_host"), kept.alias("kept")))
 
 
-def drop_rejected(docs: DataFrame, p: Params = Params(), host: str = "source", text: str = "text") -> DataFrame:
-    """The rows of docs that verdicts() keeps, with their columns as they are."""
-    hard, _ = flags(docs[text], p)
-    key = docs[host].cast("string")
-    bad = side(hosts(docs.select(key.alias("h"), hard.alias("hard")), p).where("bad").select(F.col("h").alias("bad_host_key")))
+def drop_rejected(docs: DataFrame, p: Params = Params(), host: str | Column = "source", text: str = "text") -> DataFrame:
+    """The rows of docs that verdicts() keeps, with their columns as they are. Texts are measured once, in the pass that writes them beside their verdicts.
+
+    Nulls, empty and very long texts are judged as in verdicts(); repeated rows stay or go together. An empty table
+    gives no rows. Extra columns stay, whatever their names.
+    """
     hard, soft = flags(docs[text], p)
-    clean = docs.where(hard == "")
-    # A clean row has no failure. Of those in doubt, only rows of bad hosts go.
-    return clean.join(bad, key.eqNullSafe(bad["bad_host_key"]) & (soft != ""), "left_anti")
+    g, h, s, bad = unused(docs, "host_key", "hard_flags", "soft_flags", "bad_host_key")
+    with Workspace(docs.sparkSession) as ws:
+        rows = ws.keep(docs.select("*", host_column(docs, host).alias(g), hard.alias(h), soft.alias(s)))
+        judged = hosts(rows.select(F.col(g).alias("h"), F.col(h).alias("hard")), p).where("bad").select(F.col("h").alias(bad))
+        # A clean row has no failure. Of those in doubt, only rows of bad hosts go.
+        judged = ws.side(judged, keep=True)
+    return rows.where(rows[h] == "").join(judged, rows[g].eqNullSafe(judged[bad]) & (rows[s] != ""), "left_anti").select(*(rows[f"`{c}`"] for c in docs.columns))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +176,8 @@ by_host as (select g as h, count(*) as docs, count(*) filter (hard <> '') as fai
 total as (select sum(docs)::double as n, count(*) as h0, sum(failing * failing / docs) as sq, sum(failing) / sum(docs) as m from by_host),
 prior as (select m, case when spread > 0 then greatest(1.0, least(n, m * (1 - m) / spread - 1)) else n end as weight
   from (select *, (sq - n * m * m - (h0 - 1) * m * (1 - m)) / n as spread from total)),
-judged as (select h, docs, failing, round((failing + m * weight) / (docs + weight), 6) as rate, round((failing + m * weight) / (docs + weight), 6) > 0.5 as bad from by_host, prior)
+judged as (select h, docs, failing, round(rate, 6) as rate, round(rate - 2.0 * sqrt(rate * (1 - rate) / (docs + weight + 1)), 6) > round(1.5 * m, 6) as bad
+  from (select *, (failing + m * weight) / (docs + weight) as rate from by_host, prior))
 """
 
 

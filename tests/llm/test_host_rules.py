@@ -1,6 +1,7 @@
 from cases import ODD, SCHEMA, clashing, empty, odd, rows
+from pyspark.sql import functions as F
 
-from lodestone.llm.host_rules import Params, drop_rejected, verdicts
+from lodestone.llm.host_rules import drop_rejected, host_of, verdicts
 
 CLEAN = "An ordinary sentence with words of usual length, and another one that follows it. "
 
@@ -18,12 +19,31 @@ def test_bad_hosts_are_judged_by_doubt(spark):
     assert kept == {i for i, r in got.items() if r.kept}
 
 
+def test_hosts_that_stand_out(spark):
+    """A host turns bad by its posterior, against the rate over all: not by few documents, nor where hosts differ by chance only."""
+    junk, doubt = "| a | b | c | d " * 30, (CLEAN + "= # ~ ^ ") * 3
+    rates = {"plain1": (400, 40), "plain2": (400, 44), "plain3": (400, 36), "spammy": (300, 120), "tiny": (2, 1)}
+    docs, i = [], 0
+    for h, (n, bad) in rates.items():
+        docs += [(i + k, junk if k < bad else CLEAN * 2, "en", f"https://www.{h}.example.com/{k}", 0) for k in range(n)]
+        docs.append((i + n, doubt, "en", f"http://{h}.example.com/?doubt", 0))
+        i += n + 1
+    df = spark.createDataFrame(docs, SCHEMA)
+    host = host_of(df["source"])
+    got = verdicts(df, host=host, keep=("doc_id", "source")).collect()
+    assert {r.host.split(".")[0] for r in got if r.bad_host} == {"spammy"} and all(0.05 < r.host_rate < 0.5 for r in got)
+    changed = [r for r in got if not r.failed and not r.kept]
+    assert [(r.doubted, r.source) for r in changed] == [("symbols", "http://spammy.example.com/?doubt")]
+    assert sorted(r.doc_id for r in drop_rejected(df, host=host).collect()) == sorted(r.doc_id for r in got if r.kept)
+    alike = df.where(~F.col("source").contains("spammy") & ~F.col("source").contains("tiny"))
+    assert not any(r.bad_host for r in verdicts(alike, host=host_of(alike["source"])).collect())
+
+
 def test_each_rule(spark):
     cases = {"symbols": "a # b $ c % d & " * 5, "shouts": "wow! yes! no! hey! oh! " * 4, "capitals": "SHOUTED WORDS ALL OVER THE PLACE", "letters": "123 456 789", "repeats": "same line\n" * 9, "stutter": "for for for for for to to to to to " * 4, "word_length": "x" * 90}
     docs = spark.createDataFrame([(i, t, "en", "h", 0) for i, t in enumerate(cases.values())], SCHEMA)
     got = {r.doc_id: r.failed.split(",") for r in verdicts(docs).collect()}
     assert all(name in got[i] for i, name in enumerate(cases))
-    assert Params().bad_host == 0.5
 
 
 def test_odd_rows(spark):
