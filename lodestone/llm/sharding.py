@@ -56,7 +56,10 @@ def assign(docs: DataFrame, p: Params = Params(), key: str = "doc_id", shard: st
 
 
 def write_shards(docs: DataFrame, path: str, p: Params = Params(), key: str = "doc_id", files: int = 1) -> None:
-    """Parquet in a folder by shard, up to files of each; a second hash of the key splits a shard between its files."""
+    """Parquet in a folder by shard, up to files of each; a second hash of the key splits a shard between its files.
+
+    Nulls, repeated rows and extra columns are as in assign(); an empty table writes no shard. Texts are written as they are.
+    """
     rows = assign(docs, p, key)
     rows.repartition(len(p.shards) * files, "shard", F.pmod(F.hash(F.col(key)), F.lit(files))).write.partitionBy("shard").parquet(path)
 

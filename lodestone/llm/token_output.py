@@ -13,6 +13,7 @@ run again makes the same files under the same names.
 from __future__ import annotations
 
 import base64
+import os
 import re
 import struct
 from collections.abc import Iterable, Iterator
@@ -28,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import read
+from .base import kind_of, read
 
 SKIPPABLE, SEEK, FOOTER = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 SCHEMA = "file string, documents long, tokens long, doc_ids array<long>, data binary"
@@ -36,9 +37,9 @@ SCHEMA = "file string, documents long, tokens long, doc_ids array<long>, data bi
 
 @dataclass(frozen=True)
 class Params:
-    """tokenizer: path of a rank file, which the driver reads. end: id after each document, or None. bits: of an id. file_bytes: a file is closed beyond these."""
+    """tokenizer: path of a rank file, which the driver reads; there is no default. end: id after each document, or None. bits: of an id. file_bytes: a file is closed beyond these."""
 
-    tokenizer: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    tokenizer: str
     pattern: str = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     end: int | None = 50256
     bits: int = 16
@@ -103,13 +104,15 @@ def pack(frames: list[bytes], sizes: list[int], sums: list[int], doc_ids: list[i
     return b"".join(frames) + struct.pack("<II", SKIPPABLE, len(ids)) + ids + struct.pack("<II", SEEK, len(entries) + len(footer)) + entries + footer
 
 
-def token_files(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(file, documents, tokens, doc_ids, data): the files that hold every document.
+def token_files(docs: DataFrame, p: Params, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(file, documents, tokens, doc_ids, data): the files that hold every document. A file's ids are 64-bit whole numbers, so doc_id must be of such a type.
 
     Nulls: rows with a null id are left out; a null text counts as empty. An empty text has a frame without ids but for
     the end. Very long texts are encoded whole, in one frame. Repeated rows have a frame each. An empty table gives no
     files. Other columns of docs are not looked at, whatever their names.
     """
+    if kind_of(docs, doc_id) not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{doc_id} must be a whole number, not {kind_of(docs, doc_id)}")
     with open(p.tokenizer, "rb") as f:
         ranks = f.read()
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -183,21 +186,28 @@ class TokenFile:
 
 
 def decode(files: DataFrame, doc_ids: list[int] | None = None, bits: int = 16) -> DataFrame:
-    """(doc_id, tokens) of the documents in a table of files, or of those of doc_ids."""
+    """(doc_id, tokens) of the documents in a table of files, or of those of doc_ids.
+
+    A document of several frames has a row for each; ids that no file has, or null, give none; a file without frames or an
+    empty table gives no rows. Other columns are not looked at. A frame that doesn't fit its checksum is an error.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for data in rows.column("data"):
                 f = TokenFile.of(data.as_py(), bits)
-                ids = np.unique(f.doc_ids) if doc_ids is None else doc_ids
+                ids = np.unique(f.doc_ids) if doc_ids is None else [i for i in doc_ids if i is not None]
                 found = list(f.documents(ids))
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([t.astype(np.int32) for _, t in found], pa.list_(pa.int32()))], ["doc_id", "tokens"])
 
-    return files.select("data").mapInArrow(run, "doc_id long, tokens array<int>")
+    return files.where("data is not null").select("data").mapInArrow(run, "doc_id long, tokens array<int>")
 
 
 def write_files(files: DataFrame, uri: str) -> None:
-    """Writes each row's data as uri/file. A file gets its name when it is whole, so a task may be run again."""
+    """Writes each row's data as uri/file. A file gets its name when it is whole, so a task may be run again.
+
+    Rows whose file or data is null are left out; of rows with one name the last written stays. An empty table writes nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(uri)
@@ -209,8 +219,10 @@ def write_files(files: DataFrame, uri: str) -> None:
                 fs.move(part, f"{root}/{name}")
             yield rows.select(["file"])
 
-    files.select("file", "data").mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
+    files.where("file is not null and data is not null").select("file", "data").mapInArrow(run, "file string").write.format("noop").mode("overwrite").save()
 
 
-def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files(read(spark, sf_dir, "documents"))
+def op10_token_output(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """tokenizer: a rank file; else what LODESTONE_TOKENIZER names, else the 50k one of /opt/tokenizers."""
+    path = tokenizer or os.environ.get("LODESTONE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+    return token_files(read(spark, sf_dir, "documents"), Params(path))

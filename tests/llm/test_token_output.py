@@ -4,11 +4,11 @@ import numpy as np
 import pytest
 import tiktoken
 import zstandard
-from cases import ODD, clashing, empty, odd, rows
+from cases import ODD, clashing, empty, lettered, odd, rows
 
 from lodestone.llm.token_output import Encoder, Params, TokenFile, decode, token_files, write_files
 
-P = Params()
+P = Params("/opt/tokenizers/byte_bpe_50k.tiktoken")
 RANKS = open(P.tokenizer, "rb").read()
 DIRECT = tiktoken.Encoding("t", pat_str=P.pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, RANKS.splitlines())}, special_tokens={})
 
@@ -22,7 +22,7 @@ def test_ids_are_the_tokenizers(text):
 
 def test_round_trip(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    files = token_files(docs, Params(file_bytes=100_000))
+    files = token_files(docs, Params(P.tokenizer, file_bytes=100_000))
     want = {r.doc_id: r.text for r in docs.collect()}
     assert files.count() > 2
     got = {r.doc_id: r.tokens for r in decode(files).collect()}
@@ -32,7 +32,7 @@ def test_round_trip(spark, sf):
 
 
 def test_reader_reads_only_what_is_asked(spark, sf, tmp_path):
-    files = token_files(spark.read.parquet(f"{sf}/documents.parquet").coalesce(1))
+    files = token_files(spark.read.parquet(f"{sf}/documents.parquet").coalesce(1), P)
     row = files.first()
     reads = []
     f = TokenFile(lambda at, n: (reads.append((at, n)), row.data[at : at + n])[1], len(row.data))
@@ -52,10 +52,15 @@ def test_reader_reads_only_what_is_asked(spark, sf, tmp_path):
     assert TokenFile.of(bytes(broken)).frame(8).tolist() == f.frame(8).tolist()
 
 
-def test_odd_rows(spark):
-    files = token_files(odd(spark).coalesce(1))
+def test_odd_rows(spark, tmp_path):
+    files = token_files(odd(spark).coalesce(1), P)
     assert sorted(files.first().doc_ids) == sorted(r[0] for r in ODD if r[0] is not None)
     got = rows(decode(files))
     assert [t for i, t in got if i in (1, 2)] == [[P.end], [P.end]] and len([1 for i, _ in got if i == 5]) == 2
-    assert rows(decode(token_files(clashing(odd(spark)).coalesce(1)))) == got
-    assert rows(token_files(empty(spark))) == []
+    assert rows(decode(token_files(clashing(odd(spark)).coalesce(1), P))) == got
+    assert rows(token_files(empty(spark), P)) == []
+    assert rows(decode(files, [None, 12345])) == [] and rows(decode(files.limit(0))) == [] and len(rows(decode(files, [5]))) == 2
+    with pytest.raises(ValueError, match="whole number"):
+        token_files(lettered(odd(spark)), P)
+    write_files(files.limit(0), (tmp_path / "none").as_uri())
+    assert not (tmp_path / "none").exists() or not list((tmp_path / "none").iterdir())
