@@ -1,11 +1,17 @@
-"""The training-data pipeline: stages that each work on all that the one before kept."""
+"""The training-data pipeline: stages that each work on all that the one before kept.
+
+Of odd rows: a null text counts as empty, and an empty one fails the quality rules; a document without an id can't be told
+from others and passes stages that compare ids; rows without a source make a source of their own. Very long texts are
+read whole. Repeated rows of an id pass as one document, stay or go together and share a shard. An empty table gives no
+rows. Extra columns pass through, whatever their names; the last stage adds the column shard.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm import decontaminate, host_rules, mixing, near_dup, sharding
-from lodestone.llm.base import Workspace, read
+from lodestone.llm.base import Workspace, borrowing, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the greatest budget of the mixture admits stays."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, mixing.TARGET)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents through all stages, each written as Parquet in the shared folder and read again by the next."""
+    """documents through all stages, each written as Parquet in the shared folder and read again by the next; what a stage wrote for itself is deleted then."""
     with Workspace(spark) as ws:
         docs = read(spark, sf_dir, "documents")
         for _, stage in STAGES[:-1]:
-            docs = ws.table(stage(spark, docs, sf_dir))
+            with borrowing(spark):
+                docs = ws.table(stage(spark, docs, sf_dir))
         return ws.keep(STAGES[-1][1](spark, docs, sf_dir))
