@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import datetime
 import json
-import os
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +12,7 @@ from pyspark.sql import functions as F
 from ..model import SCHEMA_VERSION, Vault
 from ..operators import extract, lifecycle, rules, symbols
 from ..operators.search import Embedder, TextIndex, embedded
+from ..sources import storage
 
 
 def compile_vault(notes: DataFrame, schemas: DataFrame, resolved: DataFrame | None = None, strategy: str = "heading", most: int = 2000) -> Vault:
@@ -61,17 +60,15 @@ class Meta:
     notes: int = field(default=0)
 
     @classmethod
-    def read(cls, path: Path) -> "Meta | None":
+    def read(cls, spark: SparkSession, path: object) -> "Meta | None":
         """None if there is none or it is damaged."""
         try:
-            return cls(**json.loads((path / "meta.json").read_text()))
-        except (OSError, ValueError, TypeError):
+            return cls(**json.loads(storage.read_text(spark, f"{path}/meta.json") or ""))
+        except (ValueError, TypeError):
             return None
 
-    def write(self, path: Path) -> None:
-        part = path / f".meta-{os.getpid()}.json"
-        part.write_text(json.dumps(asdict(self), indent=1))
-        os.replace(part, path / "meta.json")
+    def write(self, spark: SparkSession, path: object) -> None:
+        storage.write_text(spark, f"{path}/meta.json", json.dumps(asdict(self), indent=1))
 
     def drift(self, other: "Meta") -> list[str]:
         return [k for k in ("schema_version", "vault", "strategy", "max_chunk_chars") if getattr(self, k) != getattr(other, k)]
@@ -82,16 +79,14 @@ def needs_full(old: Meta | None, new: Meta, force: bool = False) -> bool:
     return force or old is None or bool(old.drift(new)) or (new.embedder is not None and old.embedder != new.embedder)
 
 
-def stale(old: Meta | None, new: Meta, pending: list[str] | None, mode: str = "fts") -> list[str]:
-    """Reasons why an index doesn't reflect the vault; pending: files changed since its commit, None if that isn't known."""
+def stale(old: Meta | None, new: Meta, pending: list[str], mode: str = "fts") -> list[str]:
+    """Reasons why an index doesn't reflect the vault; pending: those by version control. An index without vectors has no embedder to differ."""
     if old is None:
         return ["no index"]
     out = [f"{k} changed" for k in old.drift(new)]
     if mode != "fts" and old.embedder and new.embedder and old.embedder != new.embedder:
         out.append("embedder changed")
-    if old.commit and pending is None:
-        out.append("commit unknown")
-    return out + [f"changed: {f}" for f in pending or []]
+    return out + pending
 
 
 @dataclass
@@ -104,30 +99,35 @@ class Built:
     changes: DataFrame
 
 
-def build(spark: SparkSession, notes: DataFrame, schemas: DataFrame, path: Path, meta: Meta, embedder: Embedder | None = None, resolved: DataFrame | None = None, force: bool = False) -> Built:
-    """Validates, writes a new build beside the old one, then makes it the current one by writing meta.json; a failure before that leaves the old index as it was.
-
-    All tables are made anew from the notes, which is cheap; vectors of chunks of unchanged notes are taken over.
-    """
-    path.mkdir(parents=True, exist_ok=True)
+def validated(notes: DataFrame, resolved: DataFrame | None) -> None:
+    """Raises what is wrong with notes' front matter and code references, the first findings of each."""
     problems = [r.message for r in rules.front_matter(notes).orderBy("note_id").limit(50).collect()]
     if resolved is not None:
         problems += [r.message for r in symbols.code_ref_errors(resolved).limit(50).collect()]
     if problems:
         raise ValueError("index failed:\n" + "\n".join(f"  - {p}" for p in problems))
-    old = Meta.read(path)
+
+
+def build(spark: SparkSession, notes: DataFrame, schemas: DataFrame, path: object, meta: Meta, embedder: Embedder | None = None, resolved: DataFrame | None = None, force: bool = False) -> Built:
+    """Validates, writes a new build beside the old one, then makes it the current one by writing meta.json; a failure before that leaves the old index as it was.
+
+    All tables are made anew from the notes, which is cheap; vectors of chunks of unchanged notes are taken over. path may
+    lie on any file system of Spark's. The build before the last is deleted; readers of the last may go on.
+    """
+    validated(notes, resolved)
+    old = Meta.read(spark, path)
     meta.embedder = [embedder.id, embedder.dimensions] if embedder else None
     if embedder is None and old and old.embedder and not force:
         raise ValueError("the index has vectors and there is no embedder to keep them up to date")
-    full = needs_full(old, meta, force) or not (path / old.build).is_dir()
+    full = needs_full(old, meta, force) or not storage.exists(spark, f"{path}/{old.build}")
     meta.built_at = datetime.datetime.now(datetime.UTC).isoformat()
     meta.build = "build-" + meta.built_at.translate(str.maketrans("", "", "-:.+"))
-    to = str(path / meta.build)
+    to = f"{path}/{meta.build}"
     compile_vault(notes, schemas, resolved, meta.strategy, meta.max_chunk_chars).write(to)
     lifecycle.hashes(notes).write.parquet(f"{to}/hashes")
     vault = Vault.read(spark, to)
     now = spark.read.parquet(f"{to}/hashes")
-    was = now.limit(0) if full else spark.read.parquet(f"{path / old.build}/hashes")
+    was = now.limit(0) if full else spark.read.parquet(f"{path}/{old.build}/hashes")
     changes = lifecycle.reconcile(now, was)
     TextIndex.of(vault.chunk).write(to)
     vectors = None
@@ -136,19 +136,22 @@ def build(spark: SparkSession, notes: DataFrame, schemas: DataFrame, path: Path,
             embedded(vault.chunk, embedder).select("id", "embedding").write.parquet(f"{to}/vectors")
         else:
             need, still = changed_chunks(vault, vault, changes)
-            kept = spark.read.parquet(f"{path / old.build}/vectors").join(still, "id", "left_semi")
+            kept = spark.read.parquet(f"{path}/{old.build}/vectors").join(still, "id", "left_semi")
             kept.unionByName(embedded(need, embedder).select("id", "embedding")).write.parquet(f"{to}/vectors")
         vectors = spark.read.parquet(f"{to}/vectors")
     meta.notes = vault.note.count()
-    meta.write(path)
+    meta.write(spark, path)
+    for name in storage.names(spark, path):
+        if name.startswith("build-") and name not in (meta.build, old.build if old else ""):
+            storage.delete(spark, f"{path}/{name}")
     return Built(vault, TextIndex.read(spark, to), vectors, meta, full, changes)
 
 
-def load(spark: SparkSession, path: Path) -> tuple[Vault, TextIndex, DataFrame | None, Meta]:
-    meta = Meta.read(path)
+def load(spark: SparkSession, path: object) -> tuple[Vault, TextIndex, DataFrame | None, Meta]:
+    meta = Meta.read(spark, path)
     if meta is None:
         raise ValueError(f"no index in {path}")
-    to = str(path / meta.build)
+    to = f"{path}/{meta.build}"
     return Vault.read(spark, to), TextIndex.read(spark, to), spark.read.parquet(f"{to}/vectors") if meta.embedder else None, meta
 
 

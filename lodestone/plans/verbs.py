@@ -6,6 +6,7 @@ import datetime
 import json
 import os
 import re
+import warnings
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -13,7 +14,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import slug_of
-from ..operators import graph, search as searching, sidecars, symbols
+from ..operators import embedders, graph, search as searching, sidecars, symbols
 from ..sources import changes, declarations, vault as reader
 from ..sources.config import Config
 from . import build as building
@@ -38,38 +39,66 @@ def _read(spark: SparkSession, config: Config) -> tuple[DataFrame, DataFrame]:
 
 def check(spark: SparkSession, config: Config, as_of: datetime.date) -> list[str]:
     """Messages of all rules, in order; a vault that isn't there is the only finding."""
+    return checked(spark, config, as_of)[0]
+
+
+def checked(spark: SparkSession, config: Config, as_of: datetime.date) -> tuple[list[str], int]:
+    """check(), and the number of notes."""
     if not config.vault.is_dir():
-        return [f"vault directory not found: {config.vault}"]
+        return [f"vault directory not found: {config.vault}"], 0
     notes, schemas = _read(spark, config)
     given = spark.createDataFrame([(i.id, i.value, i.used_in) for i in config.invariants], "id string, value string, used_in array<string>")
     rows = building.check(notes, schemas, as_of, config.required_fields, given, _resolved(spark, config, notes))
-    return [r.message for r in rows.collect()] + [f"refinement {e}" for e in refinement_errors(config)]
+    return [r.message for r in rows.collect()] + [f"refinement {e}" for e in refinement_errors(config)], notes.count()
+
 
+def embedder_of(config: Config, required: bool = False) -> searching.Embedder | None:
+    """What the configuration names. Where it can't be had, None with a warning, so that an index does without vectors; an error if it is required."""
+    try:
+        return embedders.create(config.embedding)
+    except embedders.Unavailable as e:
+        if required:
+            raise ValueError(str(e)) from e
+        warnings.warn(f"{e}; full-text search only", stacklevel=3)
+        return None
 
-def index(spark: SparkSession, config: Config, path: Path, embedder: searching.Embedder | None = None, force: bool = False) -> building.Built:
-    """Builds the index and writes the listing and the code references beside the notes, once it is in place."""
+
+def index(spark: SparkSession, config: Config, path: object, embedder: searching.Embedder | None = None, force: bool = False) -> building.Built | None:
+    """Builds the index and writes the listing and the code references beside the notes, once it is in place. Without search in the configuration only these are written, and None is given."""
     notes, schemas = _read(spark, config)
     resolved = _resolved(spark, config, notes)
-    meta = building.Meta(str(config.vault), config.strategy, config.max_chunk_chars, commit=changes.head(config.root))
-    built = building.build(spark, notes, schemas, path, meta, embedder, resolved, force)
-    lines = [r.line for r in sidecars.hierarchy_lines(built.vault.note).collect()]
+    built = None
+    if config.search:
+        meta = building.Meta(str(config.vault), config.strategy, config.max_chunk_chars, commit=changes.head(config.root))
+        built = building.build(spark, notes, schemas, path, meta, embedder or embedder_of(config), resolved, force)
+    else:
+        building.validated(notes, resolved)
+    lines = [r.line for r in sidecars.hierarchy_lines(built.vault.note if built else notes).collect()]
     (config.vault / config.listing).write_text("# Hierarchy\n\n" + "\n".join(lines) + "\n")
     refs = [{k: v for k, v in r.asDict().items() if k not in ("pos", "outcome")} for r in symbols.sidecar(resolved).collect()]
     (config.vault / config.code_refs_file).write_text(json.dumps({"schema_version": 1, "refs": refs}, indent=2) + "\n")
     return built
 
 
-def staleness(config: Config, path: Path, embedder: searching.Embedder | None = None, mode: str = "fts") -> list[str]:
-    old = building.Meta.read(path)
+def staleness(spark: SparkSession, config: Config, path: object, embedder: searching.Embedder | None = None, mode: str = "fts") -> list[str]:
+    """Reasons why an index doesn't reflect the vault, none if it does. An index that was built outside version control is never told to be behind."""
+    old = building.Meta.read(spark, path)
     now = building.Meta(str(config.vault), config.strategy, config.max_chunk_chars, [embedder.id, embedder.dimensions] if embedder else None)
-    pending = changes.changed_files(config.root, config.vault, old.commit) if old and old.commit else []
-    return building.stale(old, now, pending, mode)
+    return building.stale(old, now, changes.pending(config.root, config.vault, old.commit, config.listing) if old and old.commit else [], mode)
+
+
+def _enabled(config: Config, what: str) -> None:
+    if not config.search:
+        raise ValueError(f"{what}: search is off in the configuration")
 
 
-def search(spark: SparkSession, config: Config, path: Path, query: str, mode: str | None = None, limit: int | None = None, embedder: searching.Embedder | None = None, rebuild: bool = False, status: str | None = None, tags: Sequence[str] = (), audience: Sequence[str] = ()) -> dict:
+def search(spark: SparkSession, config: Config, path: object, query: str, mode: str | None = None, limit: int | None = None, embedder: searching.Embedder | None = None, rebuild: bool = False, status: str | None = None, tags: Sequence[str] = (), audience: Sequence[str] = ()) -> dict:
     """{mode, hits, stale, rebuilt}; rebuild: a stale index is built again first."""
+    _enabled(config, "search")
     mode = mode or config.mode
-    reasons = staleness(config, path, embedder, mode)
+    if mode != "fts" and embedder is None:
+        embedder = embedder_of(config, required=True)
+    reasons = staleness(spark, config, path, embedder, mode)
     if rebuild and reasons:
         index(spark, config, path, embedder)
     v, text, vectors, meta = building.load(spark, path)
@@ -77,7 +106,12 @@ def search(spark: SparkSession, config: Config, path: Path, query: str, mode: st
     return {"mode": mode, "hits": hits, "stale": bool(reasons) and not rebuild, "rebuilt": rebuild and bool(reasons)}
 
 
-def query(spark: SparkSession, path: Path, command: str, note: str | None = None, **options: object) -> DataFrame:
+def query(spark: SparkSession, path: object, command: str, note: str | None = None, config: Config | None = None, **options: object) -> DataFrame:
+    """A graph query on an index. With its configuration given, a stale index is warned of, and one without search refused."""
+    if config:
+        _enabled(config, "graph")
+        if reasons := staleness(spark, config, path):
+            warnings.warn(f"the index may be behind the vault: {reasons[0]}", stacklevel=2)
     return graph.run_graph(building.load(spark, path)[0], command, note, **options)
 
 
@@ -147,7 +181,7 @@ def stage(config: Config, source: str, title: str, summary: str, now: datetime.d
     given = {"source": source.strip(), "title": title.strip(), "summary": summary.strip()}
     for name, value in given.items():
         if not value:
-            raise ValueError(f"refine stage requires a non-empty {name}")
+            raise ValueError(f"a record needs a non-empty {name}")
     base = f"{now:%Y%m%d%H%M%S}-{slug_of(given['title'])[:48] or 'refinement'}"
     id, n = base, 2
     while any(_file(config, s, id).exists() for s in STATES):
@@ -162,10 +196,10 @@ def _staged(config: Config, id: str) -> dict:
         raise ValueError("refinement id is required")
     records, errors = refinement_files(config, "staged")
     if errors:
-        raise ValueError("refinement metadata validation failed:\n" + "\n".join(errors))
+        raise ValueError("records are not in order:\n" + "\n".join(errors))
     found = next((r for r in records if r["id"] == id.strip()), None)
     if found is None:
-        raise ValueError(f"staged refinement not found: {id.strip()}")
+        raise ValueError(f"record not found among the staged: {id.strip()}")
     return found
 
 
@@ -173,14 +207,14 @@ def _move(config: Config, record: dict) -> dict:
     _write(_file(config, record["status"], record["id"]), record)
     _file(config, "staged", record["id"]).unlink()
     if errors := refinement_errors(config):
-        raise ValueError("refinement metadata validation failed:\n" + "\n".join(errors))
+        raise ValueError("records are not in order:\n" + "\n".join(errors))
     return record
 
 
-def promote(spark: SparkSession, config: Config, id: str, notes: Sequence[str], now: datetime.datetime, path: Path, embedder: searching.Embedder | None = None) -> dict:
+def promote(spark: SparkSession, config: Config, id: str, notes: Sequence[str], now: datetime.datetime, path: object, embedder: searching.Embedder | None = None) -> dict:
     """A staged record becomes promoted, if the vault is in order; the index is built again."""
     if not _clean(notes):
-        raise ValueError("refine promote requires at least one note")
+        raise ValueError("promotion needs at least one note")
     record = _staged(config, id)
     if errors := check(spark, config, now.date()):
         raise ValueError("check failed:\n" + "\n".join(f"  - {e}" for e in errors))
@@ -191,22 +225,22 @@ def promote(spark: SparkSession, config: Config, id: str, notes: Sequence[str],
 
 def reject(config: Config, id: str, reason: str, now: datetime.datetime) -> dict:
     if not reason.strip():
-        raise ValueError("refine reject requires a non-empty reason")
+        raise ValueError("rejection needs a non-empty reason")
     return _move(config, {**_staged(config, id), "status": "rejected", "updated_at": now.isoformat(), "rejected_at": now.isoformat(), "rejection_reason": reason.strip()})
 
 
-def init(cwd: Path, today: datetime.date) -> list[Path]:
+def init(cwd: Path, today: datetime.date, vault: str = "vault", owner: str = "team") -> list[Path]:
     """A vault to start from; nothing that exists is overwritten, and then nothing is written at all."""
     def note(id: str, title: str, desc: str, body: str) -> str:
-        return f"---\nid: {id}\ntitle: {title}\ndesc: {desc}\nstatus: active\nowner: team\nlast_verified: {today}\nttl_days: 180\n---\n\n# {title}\n\n{body}\n"
+        return f"---\nid: {id}\ntitle: {title}\ndesc: {desc}\nstatus: active\nowner: {owner}\nlast_verified: {today}\nttl_days: 180\n---\n\n# {title}\n\n{body}\n"
 
     content = {
-        "lodestone.config.yml": "vault: vault\nroot: .\n",
-        "vault/root.md": note("root", "Root", "Where the vault begins.", "See [[meta]]."),
-        "vault/root.schema.yml": "version: 1\nschemas:\n  - id: root\n    title: Root\n    children: [meta]\n",
-        "vault/meta.md": note("meta", "Meta", "About the vault itself.", "See [[meta.conventions]]."),
-        "vault/meta.schema.yml": "version: 1\nschemas:\n  - id: meta\n    title: Meta\n    children: [conventions]\n",
-        "vault/meta.conventions.md": note("meta.conventions", "Conventions", "How notes are written.", "One subject a note. Back to [[root]]."),
+        "lodestone.config.yml": f"vault: {vault}\nroot: .\n",
+        f"{vault}/root.md": note("root", "Root", "Where the vault begins.", "See [[meta]]."),
+        f"{vault}/root.schema.yml": "version: 1\nschemas:\n  - id: root\n    title: Root\n    children: [meta]\n",
+        f"{vault}/meta.md": note("meta", "Meta", "About the vault itself.", "See [[meta.conventions]]."),
+        f"{vault}/meta.schema.yml": "version: 1\nschemas:\n  - id: meta\n    title: Meta\n    children: [conventions]\n",
+        f"{vault}/meta.conventions.md": note("meta.conventions", "Conventions", "How notes are written.", "One subject a note. Back to [[root]]."),
     }
     files = [cwd / name for name in content]
     if taken := [f for f in files if f.exists()]:

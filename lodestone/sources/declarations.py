@@ -57,14 +57,19 @@ def scan(file: str, content: str) -> list[tuple]:
     return list(out.values())
 
 
-def catalogue(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
-    """The symbols of these files, relative to the root, that exist."""
-    base = Path(root)
-    known = [n for n in names if (base / n).resolve().is_relative_to(base.resolve()) and (base / n).is_file()]
+def scanned(files: DataFrame) -> DataFrame:
+    """The symbols of source files (file, content)."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             found = [r for n, c in zip(rows["file"], rows["content"]) for r in scan(n, c)]
             yield pd.DataFrame(found, columns=["file", "symbol", "kind", "namespaces", "line", "column"])
 
-    return spark.createDataFrame([(n, (base / n).read_text(errors="replace")) for n in known], "file string, content string").mapInPandas(parse, SYMBOL)
+    return files.select("file", "content").mapInPandas(parse, SYMBOL)
+
+
+def catalogue(spark: SparkSession, root: str, names: list[str]) -> DataFrame:
+    """The symbols of these files, relative to the root, that exist."""
+    base = Path(root)
+    known = [n for n in names if (base / n).resolve().is_relative_to(base.resolve()) and (base / n).is_file()]
+    return scanned(spark.createDataFrame([(n, (base / n).read_text(errors="replace")) for n in known], "file string, content string"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import NOTE, SCHEMA_DOC
+from . import storage
 
 LISTING = "HIERARCHY.md"
 TYPED = ("title", "desc", "status", "owner")
@@ -84,29 +85,27 @@ def files(spark: SparkSession, path: str, glob: str) -> DataFrame:
     return spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), F.col("value").alias("content"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
-def read_notes(spark: SparkSession, path: str, listing: str = LISTING) -> DataFrame:
-    """The notes of a vault. A missing directory is an empty vault; the listing's own file is no note."""
-    if not _exists(spark, path):
-        return spark.createDataFrame([], NOTE)
+def parsed(contents: DataFrame) -> DataFrame:
+    """Notes of (name, content)."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [c.split()[0] for c in ("id", "title", "desc", "status", "owner", "last_verified", "ttl_days", "audience", "tags", "code_refs", "extra", "fm_id", "fm_errors", "body", "file")]
         for rows in batches:
-            made = pd.DataFrame([note_row(n, c) for n, c in zip(rows["name"], rows["content"])], columns=columns, dtype=object)
-            yield made
+            yield pd.DataFrame([note_row(n, c) for n, c in zip(rows["name"], rows["content"])], columns=columns, dtype=object)
 
-    return files(spark, path, "*.md").where(~F.col("name").isin(LISTING, listing)).mapInPandas(parse, NOTE)
+    return contents.select("name", "content").mapInPandas(parse, NOTE)
+
+
+def read_notes(spark: SparkSession, path: str, listing: str = LISTING) -> DataFrame:
+    """The notes of a vault. A missing directory is an empty vault; the listing's own file is no note."""
+    if not storage.exists(spark, path):
+        return spark.createDataFrame([], NOTE)
+    return parsed(files(spark, path, "*.md").where(~F.col("name").isin(LISTING, listing)))
 
 
 def read_schemas(spark: SparkSession, path: str) -> DataFrame:
     """(top, schemas) of the schema files; a file that can't be parsed has none."""
-    if not _exists(spark, path):
+    if not storage.exists(spark, path):
         return spark.createDataFrame([], SCHEMA_DOC)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -39,11 +39,11 @@ def test_failure_leaves_the_index(spark, tmp_path):
     folder = write(tmp_path)
     c = config.load(tmp_path)
     verbs.index(spark, c, tmp_path / "i")
-    before = (folder / "HIERARCHY.md").read_text(), build.Meta.read(tmp_path / "i").build
+    before = (folder / "HIERARCHY.md").read_text(), build.Meta.read(spark, tmp_path / "i").build
     (folder / "bad.md").write_text("no front matter")
     with pytest.raises(ValueError, match="index failed"):
         verbs.index(spark, c, tmp_path / "i")
-    assert ((folder / "HIERARCHY.md").read_text(), build.Meta.read(tmp_path / "i").build) == before
+    assert ((folder / "HIERARCHY.md").read_text(), build.Meta.read(spark, tmp_path / "i").build) == before
     assert "- **root** - root title. root note." in before[0] and "    - **root.alpha.one**" in before[0]
 
 
@@ -70,11 +70,83 @@ def test_drift():
     old = build.Meta("v", "heading", 2000, ["e", 8])
     assert not build.needs_full(old, build.Meta("v", "heading", 2000, ["e", 8])) and build.needs_full(None, old)
     assert build.needs_full(old, build.Meta("v", "heading", 1000, ["e", 8])) and build.needs_full(old, build.Meta("v", "heading", 2000, ["f", 8]))
-    assert build.stale(old, build.Meta("v", "heading", 2000), ["a.md"]) == ["changed: a.md"] and build.stale(None, old, []) == ["no index"]
+    assert build.stale(old, build.Meta("v", "heading", 2000), ["changed: a"]) == ["changed: a"] and build.stale(None, old, []) == ["no index"]
+
+
+def repository(root):
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    return run
+
+
+def test_staleness_in_a_repository(spark, tmp_path):
+    """Stale, then built again, then fresh: what the build writes beside the notes is no change."""
+    folder = write(tmp_path)
+    git = repository(tmp_path)
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-qm", "a")
+    c = config.load(tmp_path)
+    verbs.index(spark, c, tmp_path / "i")
+    assert (folder / "HIERARCHY.md").exists() and verbs.staleness(spark, c, tmp_path / "i") == []
+    (folder / "root.schema.yml").write_text("version: 1\n")
+    assert verbs.staleness(spark, c, tmp_path / "i") == []
+    (folder / "guide.md").write_text(text("guide", "edited words"))
+    (folder / "new.md").write_text(text("new"))
+    assert verbs.staleness(spark, c, tmp_path / "i") == ["changed: guide", "changed: new"]
+    find = lambda **o: verbs.search(spark, c, tmp_path / "i", "edited", "fts", **o)
+    first = find()
+    assert first["stale"] and not first["rebuilt"] and first["hits"].count() == 0
+    with pytest.warns(UserWarning, match="behind the vault: changed: guide"):
+        verbs.query(spark, tmp_path / "i", "backlinks", "api", c)
+    git("add", ".")
+    git("commit", "-qm", "b")
+    again = find(rebuild=True)
+    assert again["rebuilt"] and not again["stale"] and [r.note_id for r in again["hits"].collect()] == ["guide"]
+    assert not find(rebuild=True)["rebuilt"] and not find()["stale"]
+    git("checkout", "-q", "--orphan", "other")
+    git("commit", "-qm", "c")
+    assert verbs.staleness(spark, c, tmp_path / "i") == ["the index is of a commit that is not behind the current one"]
+
+
+def test_old_builds_go(spark, tmp_path):
+    write(tmp_path)
+    c = config.load(tmp_path)
+    made = [verbs.index(spark, c, tmp_path / "i").meta.build for _ in range(3)]
+    assert sorted(p.name for p in (tmp_path / "i").iterdir() if p.name.startswith("build-")) == made[1:]
+
+
+def test_search_off(spark, tmp_path):
+    folder = write(tmp_path)
+    (tmp_path / "lodestone.config.yml").write_text("search: {enabled: false}\n")
+    c = config.load(tmp_path)
+    assert verbs.index(spark, c, tmp_path / "i") is None and not (tmp_path / "i").exists()
+    assert "**root.alpha.one**" in (folder / "HIERARCHY.md").read_text() and "issueToken" in (folder / "code-refs.json").read_text()
+    with pytest.raises(ValueError, match="search is off"):
+        verbs.search(spark, c, tmp_path / "i", "x")
+    with pytest.raises(ValueError, match="search is off"):
+        verbs.query(spark, tmp_path / "i", "cycles", config=c)
+    (folder / "bad.md").write_text("no front matter")
+    with pytest.raises(ValueError, match="index failed"):
+        verbs.index(spark, c, tmp_path / "i")
+
+
+def test_without_the_configured_embedder(spark, tmp_path):
+    """An index does without vectors, unless it has some already; vector search is refused."""
+    write(tmp_path)
+    (tmp_path / "lodestone.config.yml").write_text(f"search:\n  embedding: {{provider: local, folder: {tmp_path}/none}}\n")
+    c = config.load(tmp_path)
+    with pytest.warns(UserWarning, match="full-text search only"):
+        built = verbs.index(spark, c, tmp_path / "i")
+    assert built.vectors is None and verbs.staleness(spark, c, tmp_path / "i", mode="hybrid") == []
+    with pytest.raises(ValueError, match="no model.onnx"):
+        verbs.search(spark, c, tmp_path / "i", "x", "vector")
+    with pytest.raises(ValueError, match="needs an index with vectors"):
+        verbs.search(spark, c, tmp_path / "i", "x", "vector", embedder=HashEmbedder(8))
+    assert verbs.index(spark, c, tmp_path / "i", HashEmbedder(8)).full
 
 
 def test_changes_by_version_control(tmp_path):
-    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    git = repository(tmp_path)
     folder = write(tmp_path, GRAPH)
     assert changes.changed_files(tmp_path, folder, "HEAD") is None
     git("init", "-q")
@@ -87,6 +159,8 @@ def test_changes_by_version_control(tmp_path):
     (folder / "new.md").write_text("x")
     (tmp_path / "other.md").write_text("x")
     assert changes.changed_files(tmp_path, folder, first) == ["api.md", "api2.md", "guide.md", "new.md"]
+    assert changes.pending(tmp_path, folder, first) == ["changed: api", "changed: api2", "changed: guide", "changed: new"]
+    assert changes.pending(tmp_path, folder, "0" * 40) == ["the index is of a commit that is not behind the current one"]
     assert changes.note_ids(["a.md", "HIERARCHY.md", "b.yml"]) == ["a"] and changes.changed_files(tmp_path, folder, "0" * 40) is None
 
 
