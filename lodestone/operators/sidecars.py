@@ -17,5 +17,5 @@ def hierarchy_lines(notes: DataFrame) -> DataFrame:
 
 
 def rendered_hits(hits: DataFrame) -> DataFrame:
-    """A line for each hit: score to four places, id and title, with tabs between."""
-    return hits.select(F.format_string("%.4f\t%s\t%s", "score", "id", "title").alias("line"))
+    """A line for each hit: score to four places, note, title and heading path, with tabs between."""
+    return hits.select(F.format_string("%.4f\t%s\t%s\t%s", "score", "note_id", "title", "heading_path").alias("line"))

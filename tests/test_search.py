@@ -1,10 +1,11 @@
+import json
 import math
 
 import pytest
 
 from lodestone.operators import metrics, search
 from lodestone.sources import benchmarks
-from lodestone.streaming.incremental import follow
+from lodestone.streaming.incremental import follow, snapshot_of
 
 
 def test_bm25_by_hand(spark):
@@ -25,6 +26,42 @@ def test_bm25_by_hand(spark):
     assert got == {i: pytest.approx(score(i)) for i in (1, 2)}
 
 
+def test_terms_reach_the_scan(spark, tmp_path):
+    """A written index gives what one in memory does, and a query's terms are pushed down to it."""
+    docs = spark.createDataFrame([(i, f"word{i % 50} common w{i}") for i in range(3000)], "id long, search_text string")
+    index = search.TextIndex.of(docs)
+    index.write(str(tmp_path / "x"), 8)
+    read = search.TextIndex.read(spark, str(tmp_path / "x"))
+    got = read.of_terms(search.words_of("Word7, W57!"))
+    want = index.scores(spark.createDataFrame([(0, "Word7, W57!")], "query int, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 60
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PushedFilters: [In(term, [w57,word7])") >= 2 and "Exchange rangepartitioning" not in plan
+    assert read.of_terms([]).count() == 0 and search.words_of("Ça va_bien? 12") == ["ça", "va", "bien", "12"]
+
+
+def test_cells_of_vectors(spark, tmp_path):
+    """Every vector is in a cell; few cells find nine of ten nearest, all cells all."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    m = r.normal(size=(40, 16))[r.integers(0, 40, 4000)] + 0.5 * r.normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(9000, None), (9001, [0.0] * 16)], "id long, embedding array<float>")
+    index = search.VectorIndex.fitted(df, 32, sample=1000)
+    index.write(str(tmp_path / "x"))
+    index = search.VectorIndex.read(spark, str(tmp_path / "x"))
+    assert index.vectors.count() == 4000 and len(index.centres) == 32
+    some = df.where("id % 50 = 0")
+    exact = {(x.query, x.id) for x in search.nearest_all(df, some, 10).collect()}
+    found = index.top_all(some, 10, 6).collect()
+    assert len({(x.query, x.id) for x in found} & exact) >= 0.9 * len(exact) and len(found) == len(exact)
+    assert {(x.query, x.id) for x in index.top_all(some, 10, 32).collect()} == exact
+    one = index.top(m[50], 10, 6)
+    assert [x.id for x in one.collect()] == [x.id for x in sorted((x for x in found if x.query == 50), key=lambda x: x["rank"])]
+    assert "PartitionFilters: [isnotnull(cell" in one._jdf.queryExecution().executedPlan().toString() or "cell#" in one._jdf.queryExecution().executedPlan().toString().split("PartitionFilters:")[1][:80]
+    assert search.VectorIndex.fitted(df.limit(0), 4).vectors.count() == 0
+
+
 def test_fusion_prefers_both_lists(spark):
     a = spark.createDataFrame([("alpha", 2.0), ("gamma", 1.0)], "id string, score double")
     b = spark.createDataFrame([("gamma", 0.9), ("beta", 0.8)], "id string, score double")
@@ -83,3 +120,10 @@ def test_stream_keeps_a_snapshot(spark, tmp_path):
     (tmp_path / "in/2.json").write_text('{"id":"b","at":3,"deleted":true}\n{"id":"c","body":"1","at":3}\n')
     run()
     assert seen == [[("a", "2"), ("b", "1")], [("a", "2"), ("c", "1")]]
+    # A batch rewrites the parts of its keys only, and what no part is in any more goes.
+    (tmp_path / "in/3.json").write_text('{"id":"c","body":"2","at":4}\n')
+    run()
+    assert seen[-1] == [("a", "2"), ("c", "2")] == sorted(map(tuple, snapshot_of(spark, tmp_path / "out", empty).collect()))
+    state = json.loads((tmp_path / "out/state.json").read_text())
+    used = {f.partition("/")[0] for f in [*state["folders"].values(), *state["before"].values()]}
+    assert "batch-2" in used and {p.name for p in (tmp_path / "out").glob("batch-*")} == used
