@@ -1,6 +1,7 @@
 import pytest
 from vault import write
 
+from lodestone.model import TABLES, Vault
 from lodestone.operators import graph
 from lodestone.plans import verbs
 from lodestone.sources import config
@@ -88,3 +89,17 @@ def test_dispatch(v):
         with pytest.raises(ValueError):
             graph.run_graph(v, *args)
     assert ids(graph.run_graph(v, "orphans")) == ["lonely"]
+
+
+def test_trimming_keeps_the_cycles(spark):
+    import random
+
+    for seed in range(4):
+        r = random.Random(seed)
+        pairs = sorted({(f"n{r.randrange(30)}", f"n{r.randrange(30)}") for _ in range(45)})
+        want: dict = {}
+        for a, b in pairs:
+            want.setdefault(a, []).append(b)
+        v = Vault(**({name: None for name in TABLES} | {"links_to": spark.createDataFrame(pairs, "source string, target string")}))
+        assert [row.path for row in graph.cycles(v).collect()] == graph.find_cycles(want)
+        assert graph.trimmed(v.links_to).count() < len(pairs)
