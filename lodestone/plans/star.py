@@ -36,15 +36,15 @@ def customer_status():
     return F.when(F.col("c_acctbal") < 0, "deprecated").when(F.col("c_acctbal") < 1000, "draft").otherwise("active")
 
 
-def star_notes(spark: SparkSession, d: str, least_quantity: float = 0) -> DataFrame:
-    """The vault's notes; links stand for line items of a quantity from least_quantity on."""
+def star_notes(spark: SparkSession, d: str) -> DataFrame:
+    """The vault's notes; a customer links to the part of each line item."""
     t = lambda name: table(spark, d, name)
     heading = lambda name: F.concat(F.lit("# "), F.col(name), F.lit("\n"))
     root = note(spark.range(1), id=F.lit("root"), title=F.lit("Root"), desc=F.lit("All."), body=F.lit("# Root\n"))
     region = note(t("region"), id=F.concat(F.lit("r"), "r_regionkey"), title=F.col("r_name"), desc=F.lit("A region."), body=heading("r_name"))
     nations = F.broadcast(t("nation").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")))
     nation = note(nations, id=F.concat(F.lit("r"), "r_regionkey", F.lit(".n"), "n_nationkey"), title=F.col("n_name"), desc=F.lit("A nation."), tags=F.array("r_name"), body=heading("n_name"))
-    items = t("lineitem").where(F.col("l_quantity") >= least_quantity).join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    items = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part").select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     link = F.concat(F.lit("[["), "p_name", F.lit("|p"), "p_partkey", F.lit("]]"))
     links = items.groupBy("o_custkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", link.alias("link")))), lambda x: x["link"]), ", ").alias("links"))
     customers = t("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).join(links, F.col("c_custkey") == F.col("o_custkey"), "left")
@@ -62,8 +62,8 @@ def no_schemas(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SCHEMA_DOC)
 
 
-def star_vault(spark: SparkSession, d: str, least_quantity: float = 0, refs: bool = False) -> Vault:
-    notes = star_notes(spark, d, least_quantity)
+def star_vault(spark: SparkSession, d: str, refs: bool = False) -> Vault:
+    notes = star_notes(spark, d)
     return compile_vault(notes, no_schemas(spark), symbols.resolve(symbols.requests(notes), catalogue(spark, d)) if refs else None)
 
 
@@ -78,7 +78,7 @@ STAR = """star as (select 'root' as id, 'Root' as title, 'active' as status
   union all select 'r' || n_regionkey || '.n' || n_nationkey || '.c' || c_custkey, c_name, case when c_acctbal < 0 then 'deprecated' when c_acctbal < 1000 then 'draft' else 'active' end from customer join nation on c_nationkey = n_nationkey
   union all select 'p' || p_partkey, p_name, 'active' from part),
 cust as (select c_custkey, 'r' || n_regionkey || '.n' || n_nationkey || '.c' || c_custkey as id from customer join nation on c_nationkey = n_nationkey),
-links as (select id as source, 'p' || l_partkey as target, l_quantity from lineitem join orders on l_orderkey = o_orderkey join cust on o_custkey = c_custkey)"""
+links as (select id as source, 'p' || l_partkey as target from lineitem join orders on l_orderkey = o_orderkey join cust on o_custkey = c_custkey)"""
 QUERIES, ORACLES = {}, {}
 
 
@@ -129,9 +129,10 @@ def ancestors(spark, d):
     return graph.ancestors(star_vault(spark, d), f"r{nation.n_regionkey}.n{nation.n_nationkey}.c7")
 
 
-@query("o69_orphans", f"with {STAR} select id, title, status from star s where id <> 'root' and not exists (select 1 from links where l_quantity >= 49 and source = s.id) and not exists (select 1 from links where l_quantity >= 49 and target = s.id)")
+@query("o69_orphans", f"with {STAR}, known as (select p_brand, p_name from part group by all having count(distinct p_type) = 1) select id, title, status from star s where id <> 'root' and not exists (select 1 from links where source = s.id) and not exists (select 1 from links where target = s.id) and not exists (select 1 from part join known using (p_brand, p_name) where 'p' || p_partkey = s.id)")
 def orphans(spark, d):
-    return graph.orphans(star_vault(spark, d, 49))
+    """Regions, nations and customers without orders; parts have links or code references."""
+    return graph.orphans(star_vault(spark, d, refs=True))
 
 
 @query("o70_related", f"""with {STAR}, tag as (select 'p' || p_partkey as id, p_brand as tag from part),
@@ -156,6 +157,26 @@ def resolution(spark, d):
     return symbols.resolve(symbols.requests(star_notes(spark, d)), catalogue(spark, d)).select("note_id", "file", "symbol", "outcome", "resolved_kind")
 
 
+CYCLE_EDGES = """steps as (select distinct event_type as source, target from (select event_type, lead(event_type) over (partition by user_id order by ts, event_id) as target from events) where target is not null)"""
+
+
+@query("o72_self_loops", f"with {CYCLE_EDGES} select source as id from steps where source = target")
+def self_loops(spark, d):
+    """Of the cycles, those of one note, which SQL can find."""
+    return cycles(spark, d).where(F.size("path") == 2).select(F.col("path")[0].alias("id"))
+
+
+@query("o72_ring_cycles", "select 'o' || o_custkey || '.' || 0 as first, count(*) + 1 as steps from orders group by o_custkey")
+def rings(spark, d):
+    """Every order links to its customer's next and the last to the first, so that each customer is a cycle of known length."""
+    turn = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = table(spark, d, "orders").select("o_custkey", (F.row_number().over(turn) - 1).alias("i"), F.count("*").over(Window.partitionBy("o_custkey")).alias("n"))
+    name = lambda i: F.concat(F.lit("o"), "o_custkey", F.lit("."), i.cast("string"))
+    edges = rows.select(name(F.col("i")).alias("source"), name((F.col("i") + 1) % F.col("n")).alias("target"))
+    found = graph.cycles(Vault(**{f: edges for f in Vault.__dataclass_fields__}))
+    return found.select(F.array_min("path").alias("first"), F.size("path").cast("long").alias("steps"))
+
+
 @query("o72_cycles")
 def cycles(spark, d):
     turn = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -328,11 +349,10 @@ def id_matches(spark, d):
     return rules.id_matches(rows).select("note_id")
 
 
-@query("o38_content_hash", "select 'd' || doc_id as id, sha256(lang || chr(0) || text) as hash from documents")
+@query("o38_content_hash", """select 'd' || doc_id as id, sha256('{"id":"d' || doc_id || '","title":"' || source || '","desc":"' || lang || '","status":"active","owner":"team","last_verified":"1999-12-01","ttl_days":365,"fm_id":"d' || doc_id || '"}' || chr(0) || text) as hash from documents""")
 def hashes(spark, d):
-    from ..functions.text import content_hash
-
-    return table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), content_hash(F.col("lang"), F.col("text")).alias("hash"))
+    """All front matter, as one line of JSON, and the body."""
+    return lifecycle.hashes(text_notes(spark, d))
 
 
 @query("o50_reconcile", "select 'd' || doc_id as id, case when lang = 'de' then 'changed' when lang = 'fr' then 'added' when lang = 'es' then 'removed' else 'same' end as change from documents")
