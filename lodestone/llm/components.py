@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .base import Workspace, kind_of
 
 #: Edges that a task joins at once; so many fit in its memory at any size of the corpus.
-CHUNK = 200_000
+CHUNK = 50_000
 
 
 def forest(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:

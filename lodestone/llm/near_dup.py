@@ -289,7 +289,9 @@ def near_duplicates(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_id
         def connect(pairs: DataFrame) -> None:
             nonlocal groups
             known = groups.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-            groups = ws.table(connected_components(ws, known.union(verified(pairs, sets, p).where(F.col("similarity") >= p.threshold).select("a", "b"))))
+            # Written first, so that a task has one Python worker at a time.
+            alike = ws.table(verified(pairs, sets, p).where(F.col("similarity") >= p.threshold).select("a", "b"))
+            groups = ws.table(connected_components(ws, known.union(alike)))
 
         def across(pairs: DataFrame) -> DataFrame:
             """The pairs whose ends are in different groups."""
