@@ -25,12 +25,17 @@ TABLES = {
     "declares": "note_id string, symbol_id string",
     "schema_child": "schema_id string, child_id string",
 }
-SCHEMA_VERSION = 1
+#: What tables are sorted by where they are written.
+ORDER = {"note": ("id",), "chunk": ("id",), "links_to": ("source", "target"), "has_tag": ("note_id", "tag"), "declares": ("note_id", "symbol_id"), "symbol": ("file", "symbol")}
+SCHEMA_VERSION = 2
 
 
 @dataclass(frozen=True)
 class Vault:
-    """A compiled vault: seven tables of nodes and six of edges; chunks know their note, headings theirs."""
+    """A compiled vault: seven tables of nodes and six of edges; chunks know their note, headings theirs.
+
+    linked_from has the rows of links_to laid out by target, where the vault has been written.
+    """
 
     note: DataFrame
     chunk: DataFrame
@@ -45,17 +50,25 @@ class Vault:
     has_audience: DataFrame
     declares: DataFrame
     schema_child: DataFrame
+    linked_from: DataFrame | None = None
 
     def items(self) -> list[tuple[str, DataFrame]]:
-        return [(f.name, getattr(self, f.name)) for f in fields(self)]
+        return [(f.name, getattr(self, f.name)) for f in fields(self) if f.name in TABLES]
 
     def write(self, path: str) -> None:
+        """Each table in the order in which it is looked up, so that a query for one note reads the row groups that may have it. A note of very many links is spread over files."""
+        spark = self.note.sparkSession
         for name, df in self.items():
+            keys = ORDER.get(name)
+            df = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
             df.write.mode("overwrite").parquet(f"{path}/{name}")
+        links = spark.read.schema(TABLES["links_to"]).parquet(f"{path}/links_to")
+        links.repartitionByRange("target", "source").sortWithinPartitions("target", "source").write.mode("overwrite").parquet(f"{path}/linked_from")
 
     @classmethod
     def read(cls, spark: SparkSession, path: str) -> "Vault":
-        return cls(**{name: spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in TABLES.items()})
+        read = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}")
+        return cls(**{name: read(name, schema) for name, schema in TABLES.items()}, linked_from=read("linked_from", TABLES["links_to"]))
 
 
 def positive(value: int | None, name: str) -> int | None:

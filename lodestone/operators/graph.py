@@ -12,9 +12,14 @@ from ..functions.text import depth, upto
 from ..model import Vault, limited, positive
 
 
+def _into(v: Vault) -> DataFrame:
+    """Links, best read by target."""
+    return v.links_to if v.linked_from is None else v.linked_from
+
+
 def backlinks(v: Vault, note: str, limit: int | None = None) -> DataFrame:
     """(id, title, anchor, status) of the notes that link here, a row for each link."""
-    rows = v.links_to.where(F.col("target") == note).select(F.col("source").alias("id"), "anchor")
+    rows = _into(v).where(F.col("target") == note).select(F.col("source").alias("id"), "anchor")
     return limited(rows.join(v.note.select("id", "title", "status"), "id").select("id", "title", "anchor", "status").orderBy("id", F.col("anchor").asc_nulls_first()), limit)
 
 
@@ -65,7 +70,7 @@ def related(v: Vault, note: str, limit: int | None = None) -> DataFrame:
     """(id, title, shared_tags, common_backlinks): notes that share tags, or are linked from the same notes; most first."""
     mine = v.has_tag.where(F.col("note_id") == note).select("tag")
     tags = v.has_tag.where(F.col("note_id") != note).join(mine, "tag").groupBy(F.col("note_id").alias("id")).agg(F.sort_array(F.collect_list("tag")).alias("shared_tags"))
-    sources = v.links_to.where(F.col("target") == note).select("source").distinct()
+    sources = _into(v).where(F.col("target") == note).select("source").distinct()
     cited = v.links_to.where(F.col("target") != note).join(sources, "source").groupBy(F.col("target").alias("id")).agg(F.countDistinct("source").alias("common_backlinks"))
     rows = tags.join(cited, "id", "full_outer").join(v.note.select("id", "title"), "id")
     rows = rows.select("id", "title", F.coalesce("shared_tags", F.array().cast("array<string>")).alias("shared_tags"), F.coalesce("common_backlinks", F.lit(0)).cast("long").alias("common_backlinks"))

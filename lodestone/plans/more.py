@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import datetime
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,31 +11,7 @@ from ..model import SCHEMA_DOC, Vault, limited
 from ..operators import extract, graph, lifecycle, rules, search, sidecars, symbols
 from ..sources import benchmarks, changes, declarations, storage, vault as reader
 from . import build
-from .star import AS_OF, BM25, STAR, catalogue, no_schemas, note, query, star_notes, star_vault, table, text_notes, vectors
-
-
-_made: dict[tuple, object] = {}
-
-
-def once(f):
-    """Tables that several queries ask for are written once in an application."""
-
-    def get(spark: SparkSession, d: str):
-        key = f.__name__, spark.sparkContext.applicationId, d
-        if key not in _made:
-            _made[key] = f(spark, d)
-        return _made[key]
-
-    return get
-
-
-def place(spark: SparkSession) -> str:
-    """A new folder in the shared one of spark.checkpoint.dir; a session without that, as in tests, gets a temporary one, deleted at its end."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="lodestone-")
-        atexit.register(shutil.rmtree, root, True)
-    return f"{root}/star-{uuid.uuid4().hex}"
+from .star import AS_OF, STAR, built_vault, no_schemas, note, once, place, query, star_notes, star_vault, table, text_notes, vectors
 
 
 # ---- files
@@ -359,12 +329,12 @@ def vector_cells(spark, d):
 
 @query("o64_limited", f"with {STAR} select source as id from links where target = 'p7' order by source limit 3")
 def limits(spark, d):
-    return graph.backlinks(star_vault(spark, d), "p7", 3).select("id")
+    return graph.backlinks(built_vault(spark, d), "p7", 3).select("id")
 
 
 @query("o73_dispatch", f"with {STAR} select 'descendants' as command, count(*) as n from star where id like 'r1.%' union all select 'orphans', (select count(*) from star s where id <> 'root' and not exists (select 1 from links where source = s.id or target = s.id)) union all select 'backlinks', (select count(*) from links where target = 'p7')")
 def dispatch(spark, d):
-    v = star_vault(spark, d)
+    v = built_vault(spark, d)
     return _counts([("descendants", graph.run_graph(v, "descendants", "r1")), ("orphans", graph.run_graph(v, "orphans")), ("backlinks", graph.run_graph(v, "backlinks", "p7"))]).withColumnRenamed("name", "command")
 
 

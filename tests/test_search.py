@@ -4,6 +4,7 @@ import math
 import pytest
 
 from lodestone.operators import metrics, search
+from lodestone.plans.evaluate import evaluate
 from lodestone.sources import benchmarks
 from lodestone.streaming.incremental import follow, snapshot_of
 
@@ -127,3 +128,26 @@ def test_stream_keeps_a_snapshot(spark, tmp_path):
     state = json.loads((tmp_path / "out/state.json").read_text())
     used = {f.partition("/")[0] for f in [*state["folders"].values(), *state["before"].values()]}
     assert "batch-2" in used and {p.name for p in (tmp_path / "out").glob("batch-*")} == used
+
+
+def test_evaluation_of_a_judged_collection(spark, tmp_path):
+    """Full-text, vector and hybrid lists of notes against hand-made judgements."""
+    topics = ["rivers and lakes", "engines and pistons", "breads and ovens", "stars and comets"]
+    corpus = [(f"d{i}", f"T{i}", f"# Part\n\nOn {topics[i % 4]} in year {i}.\n\n## More\n\nNothing here {i}.") for i in range(40)]
+    queries = [(f"q{k}", t) for k, t in enumerate(topics)] + [("unjudged", "rivers")]
+    judged = [(f"q{k}", f"d{i}", 1.0) for k in range(4) for i in range(k, 40, 4)]
+
+    class Topics:
+        id, dimensions = "topics", 4
+
+        def embed_query(self, text):
+            return [float(t.split()[0] in text) for t in topics]
+
+        def embed_documents(self, texts):
+            return [self.embed_query(t) for t in texts]
+
+    frames = (spark.createDataFrame(corpus, "doc string, title string, text string"), spark.createDataFrame(queries, "query string, text string"), spark.createDataFrame(judged, "query string, doc string, gain double"))
+    got = {r.mode: r for r in evaluate(spark, str(tmp_path / "x"), *frames, Topics()).collect()}
+    assert set(got) == {"fts", "vector", "hybrid"} and all(r.queries == 4 and r.ndcg == r.mrr == pytest.approx(1.0) and r.recall == 1.0 for r in got.values())
+    short = evaluate(spark, str(tmp_path / "y"), *frames, limit=5).collect()
+    assert [(r.mode, r.recall) for r in short] == [("fts", 0.5)] and 0.6 < short[0].ndcg < 0.7
