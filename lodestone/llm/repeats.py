@@ -320,14 +320,15 @@ def repeated_passages(docs: DataFrame, p: Params = Params(), doc_id: str = "doc_
         rows = ws.table(rows.withColumn("kinds", F.sum((F.col("k") == 1).cast("long")).over(gram)).where("n > 1 or kinds > 1"))
         span = ["id", "t", F.greatest(F.lit(0), F.col("w") - (p.length - p.gram)).alias("i"), F.col("e").alias("j"), "start", "stop"]
         spans = rows.where("n > 1").select(*span)
-        few = fetch(chosen, wanted(rows.where("kinds > 1 and k = 1")), p)
-        spans = spans.union(indexed(few, p))
+        few = rows.where("kinds > 1 and k = 1").select("h", "id", "t", "w")
 
         rows = ws.table(every.join(hot, "h", "left_semi"))
         kinds = ws.table(rows.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(place).alias("first")))
         spans = spans.union(rows.join(kinds.where("n > 1").select("h", "c"), ["h", "c"], "left_semi").select(*span))
-        many = fetch(chosen, wanted(kinds.select("h", "first.*")), p)
-        spans = spans.union(hashed(ws, many, p)).distinct()
+        # Texts are exchanged once, for the contexts of both.
+        parts = ws.table(fetch(chosen, wanted(few.unionByName(kinds.select("h", "first.*"))), p))
+        spans = spans.union(indexed(parts.join(hot, "h", "left_anti"), p))
+        spans = spans.union(hashed(ws, parts.join(hot, "h", "left_semi"), p)).distinct()
         return ws.keep(merged(spans).select(F.col("id").alias("doc_id"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop")).distinct())
 
 
