@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Workspace, kind_of
+
+class Tables(Protocol):
+    """Where steps are written, which cuts lineage."""
+
+    def table(self, df: DataFrame) -> DataFrame: ...
+
 
 #: Edges that a task joins at once; so many fit in its memory at any size of the corpus.
 CHUNK = 50_000
@@ -16,7 +22,7 @@ CHUNK = 50_000
 
 def forest(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Edges (a, b) that connect what edges do, a star for each group within a chunk of a partition."""
-    kind = kind_of(edges, "a")
+    kind = edges.select("a").schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parent: dict = {}
@@ -50,7 +56,7 @@ def forest(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return edges.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def connected_components(ws: Workspace, edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def connected_components(ws: Tables, edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(node, root) for every node of edges (a, b), which may be of any type that sorts; root is the least node of its component. No edges give no rows.
 
     Tasks first join the edges that they read. Star steps then go on until the edges are stars; each replaces the edges
@@ -80,3 +86,13 @@ def connected_components(ws: Workspace, edges: DataFrame, chunk: int = CHUNK) ->
     while not done(edges):
         edges = ws.table(small(large(edges)))
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+
+
+def joined_components(ws: Tables, edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """connected_components() of edges that mostly lie beside those that they belong with: star steps are taken on the centres of the first stars alone, and only on those that share a node."""
+    stars = forest(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), chunk)
+    nodes = stars.union(stars.select("a", F.col("a").alias("b"))).union(edges.where("a = b").select("a", "b"))
+    nodes = ws.table(nodes.groupBy(F.col("b").alias("node")).agg(F.collect_set("a").alias("centres")).withColumn("m", F.array_min("centres")))
+    shared = nodes.where(F.size("centres") > 1).select(F.col("m").alias("a"), F.explode("centres").alias("b"))
+    roots = ws.table(connected_components(ws, shared.where("a < b"), chunk)).select(F.col("node").alias("m"), "root")
+    return ws.table(nodes.select("node", "m").join(roots, "m", "left").select("node", F.coalesce("root", "m").alias("root")))

@@ -103,3 +103,24 @@ def test_trimming_keeps_the_cycles(spark):
         v = Vault(**({name: None for name in TABLES} | {"links_to": spark.createDataFrame(pairs, "source string, target string")}))
         assert [row.path for row in graph.cycles(v).collect()] == graph.find_cycles(want)
         assert graph.trimmed(v.links_to).count() < len(pairs)
+
+
+def test_cycles_part_by_part(spark):
+    """Parts of the graph go through tasks one by one, and give what a search of the whole does."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(5)
+    pairs = sorted({(f"g{g}.{r.randrange(7)}", f"g{g}.{r.randrange(7)}") for g in range(40) for _ in range(9)})
+    want: dict = {}
+    for a, b in pairs:
+        want.setdefault(a, []).append(b)
+    v = Vault(**({name: None for name in TABLES} | {"links_to": spark.createDataFrame(pairs, "source string, target string").repartition(3)}))
+    got = graph.cycles(v).collect()
+    assert [row.path for row in got] == graph.find_cycles(want)
+    assert [row.pos for row in got] == list(range(len(got)))
+    rows = pa.RecordBatch.from_pylist([{"root": x, "source": x, "target": x} for x in ("a", "b", "c")])
+    assert [b.num_rows for b in graph._cycles_of(iter([rows]), at_once=1)] == [1, 1, 1]
+    none = Vault(**({name: None for name in TABLES} | {"links_to": spark.createDataFrame([("a", "b")], "source string, target string")}))
+    assert graph.cycles(none).collect() == []
