@@ -151,3 +151,26 @@ def test_evaluation_of_a_judged_collection(spark, tmp_path):
     assert set(got) == {"fts", "vector", "hybrid"} and all(r.queries == 4 and r.ndcg == r.mrr == pytest.approx(1.0) and r.recall == 1.0 for r in got.values())
     short = evaluate(spark, str(tmp_path / "y"), *frames, limit=5).collect()
     assert [(r.mode, r.recall) for r in short] == [("fts", 0.5)] and 0.6 < short[0].ndcg < 0.7
+
+
+def test_words_of_a_long_text_are_counted_in_proportion(spark):
+    """Each of 60,000 different words was compared with all of them."""
+    import time
+
+    text = " ".join(f"w{i} w{i // 2}" for i in range(60_000))
+    index = search.TextIndex.of(spark.createDataFrame([(1, text), (2, "b a b"), (3, "..."), (4, None)], "id long, search_text string"))
+    began = time.time()
+    got = {(r.id, r.term): (r.tf, r.length) for r in index.postings.collect()}
+    assert time.time() - began < 40
+    want = {}
+    for w in text.split():
+        want[1, w] = want.get((1, w), 0) + 1
+    assert got == {k: (n, 120_000) for k, n in want.items()} | {(2, "a"): (1, 3), (2, "b"): (2, 3)}
+    assert index.totals.first().n == 4
+
+
+def test_terms_are_counted_from_written_postings(spark, tmp_path):
+    search.TextIndex.of(spark.createDataFrame([(1, "a b a"), (2, "b c")], "id long, search_text string")).write(str(tmp_path / "x"))
+    read = search.TextIndex.read(spark, str(tmp_path / "x"))
+    assert sorted(map(tuple, read.terms.collect())) == [("a", 1), ("b", 2), ("c", 1)]
+    assert sorted(p.name for p in (tmp_path / "x").iterdir()) == ["postings", "terms", "totals"]
