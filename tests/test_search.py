@@ -174,3 +174,14 @@ def test_terms_are_counted_from_written_postings(spark, tmp_path):
     read = search.TextIndex.read(spark, str(tmp_path / "x"))
     assert sorted(map(tuple, read.terms.collect())) == [("a", 1), ("b", 2), ("c", 1)]
     assert sorted(p.name for p in (tmp_path / "x").iterdir()) == ["postings", "terms", "totals"]
+
+
+def test_scores_of_few_and_of_many_queries(spark, monkeypatch):
+    """Few are sent to all tasks, many joined; a chunk's postings are exchanged before they meet few."""
+    index = search.TextIndex.of(spark.createDataFrame([(i, f"a b{i % 3} c{i}") for i in range(30)], "id long, search_text string"))
+    queries = spark.createDataFrame([(1, "a b1"), (2, "c3 a"), (3, "nothing")], "query long, text string")
+    few = index.scores(queries)
+    assert "hashpartitioning(query" not in few._jdf.queryExecution().executedPlan().toString()
+    want = sorted((r.query, r.id, round(r.score, 9)) for r in few.collect())
+    monkeypatch.setattr(search, "FEW", 1)
+    assert sorted((r.query, r.id, round(r.score, 9)) for r in index.scores(queries).collect()) == want and len(want) == 60
